@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayweft.operators.skew import salted_join
-from wayweft.runtime import materialise
+from wayweft.runtime import materialise, ship
 
 #: What an element is and which keys of it are read.
 ELEMENT_TYPES = ("node", "way", "group")
@@ -254,6 +254,7 @@ def flatten_elements(df: DataFrame, key: str, payload: str) -> FlatTables:
     payloads encoded several times are decoded; depth is unlimited; a payload that came under two keys gives its
     occurrences twice and its objects once. Of a key that an object repeats the last value counts, as in JSON.
     """
+    ship(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("raw_id"), F.col(payload).alias("payload")).where("length(payload) > 0")
     flat = materialise(rows.mapInArrow(_flatten, _SCHEMA), "elements")
     part = lambda name: flat.where(F.col("part") == name)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayweft.runtime import ship
+
 #: Opening and closing double quotes of every style.
 DOUBLE_QUOTES = {'"': '"', "“": "”", "„": "”", "‟": "”", "«": "»", "＂": "＂"}
 
@@ -126,6 +128,7 @@ def explode_packed(df: DataFrame, keys: list[str], packed: str, extra_if: Column
     rows. Only texts that hold a mark of the dialect reach Python; the rest stays in the JVM. Null and blank texts
     give no rows; equal values stay separate; rows that repeat are repeated; other columns are ignored.
     """
+    ship(df.sparkSession)
     d = dialect or Dialect()
     own = [f"_k{i}" for i, _ in enumerate(keys)]
     rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(packed).alias("_text"), F.coalesce(extra_if if extra_if is not None else F.lit(False), F.lit(False)).alias("_extra"))

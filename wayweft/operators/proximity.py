@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayweft.runtime import materialise
+from wayweft.runtime import materialise, ship
 
 #: Radius of the sphere in metres.
 EARTH_M = 6_371_008.8
@@ -163,6 +163,7 @@ class Pivots:
 
 def _pivots(points: DataFrame) -> tuple[Pivots, np.ndarray, int]:
     """Pivots drawn from (id, lon, lat) by a hash of the id, the salts of each cell, and the number of points."""
+    ship(points.sparkSession)
     n = points.count()
     wanted = int(min(MAX_PIVOTS, max(1, n // CELL_POINTS)))
     draw = wanted * SAMPLE_FACTOR

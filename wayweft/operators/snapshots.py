@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayweft.runtime import small_or_shuffled
+from wayweft.runtime import ship, small_or_shuffled
 
 
 def _differs(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
@@ -83,6 +83,7 @@ def snapshot_changes(df: DataFrame, keys: Sequence[str], snapshot: str, delivere
     count once, rows whose snapshot or a key is null are no records of any snapshot, null equals null when compared,
     an empty table gives an empty result; other columns of df are ignored, whatever their names.
     """
+    ship(df.sparkSession)
     names = [f"_c{i}" for i, _ in enumerate(compare)]
     rows = df.select(F.col(snapshot).alias("_snap"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(delivered).alias("_at"), *[c.alias(n) for n, c in zip(names, compare.values())])
     own = [f"_k{i}" for i, _ in enumerate(keys)]
