@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayweft.llm import bpe, mixing, repetition
+from wayweft.llm import bpe, entity_match, mixing, repetition
 from wayweft.runtime import table
 
 
+def _streets(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.match_streets(table(spark, d, "centerline"), table(spark, d, "osm_lines"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that are the same stretch of the same street."""
+    return _streets(spark, d).where(F.col("confidence") >= entity_match.MATCH).select("objectid", "way_id").distinct()
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs with their confidence."""
+    return _streets(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"), ["doc_id"], "text")
@@ -41,6 +55,6 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_mix, p8_shares, p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_matches, p7_ids, p8_mix, p8_shares, p9_found, p9_shares)}
 
 SQL: dict[str, str] = {}
