@@ -56,6 +56,16 @@ class Projection:
         beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
         return radius, alpha, beta
 
+    def _geodetic(self, chi, m):
+        """Geodetic from conformal latitude by a series, so that no expression contains itself again."""
+        f = 1 / self.inverse_flattening
+        n = f / (2 - f)
+        delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+        phi = chi
+        for j, c in enumerate(delta, 1):
+            phi = phi + m.sin(chi * (2 * j)) * c
+        return phi
+
     def _cone(self):
         e = self._eccentricity()
         m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
@@ -98,22 +108,15 @@ class Projection:
             for j, c in enumerate(beta, 1):
                 xi0 = xi0 - c * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
                 eta0 = eta0 - c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
-            t0 = m.sin(xi0) / m.sqrt(m.sinh(eta0) * m.sinh(eta0) + m.cos(xi0) * m.cos(xi0))
-            t = t0
-            for _ in range(4):  # Newton's method for the tangent of the latitude
-                s = m.sinh(m.atanh(t / m.sqrt(1 + t * t) * e) * e)
-                now = t * m.sqrt(1 + s * s) - s * m.sqrt(1 + t * t)
-                t = t + (t0 - now) / m.sqrt(1 + now * now) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * m.sqrt(1 + t * t))
-            lam, phi = m.atan2(m.sinh(eta0), m.cos(xi0)), m.atan(t)
+            chi = m.atan2(m.sin(xi0), m.sqrt(m.sinh(eta0) * m.sinh(eta0) + m.cos(xi0) * m.cos(xi0)))
+            lam, phi = m.atan2(m.sinh(eta0), m.cos(xi0)), self._geodetic(chi, m)
         else:
             e, n, big_f, rho0 = self._cone()
             sign = 1.0 if n >= 0 else -1.0
             rho = m.sqrt(x * x + (rho0 - y) * (rho0 - y)) * sign
             lam = m.atan2(x * sign, (rho0 - y) * sign) / n
             t = m.pow(rho / (self.a * big_f), 1 / n)
-            phi = math.pi / 2 - m.atan(t) * 2
-            for _ in range(8):
-                phi = math.pi / 2 - m.atan(t * m.pow((1 - e * m.sin(phi)) / (1 + e * m.sin(phi)), e / 2)) * 2
+            phi = self._geodetic(math.pi / 2 - m.atan(t) * 2, m)
         return m.degrees(lam) + self.lon0, m.degrees(phi)
 
     def point(self, p: Column, reverse: bool = False) -> Column:
