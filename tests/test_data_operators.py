@@ -1,0 +1,283 @@
+"""Small fixtures with brute force for the general data operators, dirty input included."""
+
+import itertools
+import json
+import math
+import random
+from datetime import date, datetime
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from wayweft.operators import nested, orphans, packed, proximity, snapshots
+from wayweft.operators.skew import salted_join
+
+T0 = datetime(2023, 1, 1)
+TAGS = "array<struct<k:string,v:string>>"
+
+
+# Snapshots
+
+
+def snap(spark, rows):
+    return spark.createDataFrame(rows, f"snap_date date, id long, tags {TAGS}, loaded_at timestamp, change_kind string, _no int")
+
+
+def changes(df):
+    return sorted(tuple(r) for r in snapshots.tag_changes(df).collect())
+
+
+def test_changes_of_dirty_snapshots(spark):
+    d1, d2, d3 = date(2023, 1, 31), date(2023, 2, 28), date(2023, 5, 31)
+    at = lambda n: datetime(2023, 6, n)
+    rows = [
+        (d1, 1, [("a", "x")], at(1)), (d2, 1, [("a", " x "), ("a", "x")], at(1)),  # form only
+        (d1, 2, None, at(1)), (d2, 2, [], at(1)),  # no tags
+        (d1, 3, [("a", "x")], at(1)), (d2, 3, [("a", "y")], at(1)), (d2, 3, [("a", "x")], at(2)),  # replaced later
+        (d1, 4, [("a", "x")], at(1)), (d3, 4, [("a", "x")], at(1)),  # gone and back
+        (d2, 5, [("a", None)], at(1)), (d3, 5, [("a", "")], at(1)),  # null is not empty
+        (d1, 6, [("a", "x"), ("b", "y")], at(1)), (d2, 6, [("b", "y"), ("a", "x")], at(1)), (d3, 6, [("b", "y")], at(1)), (d3, 6, [("b", "y")], at(1)),
+        (d2, None, [], at(1)), (None, 7, [], at(1)), (d3, 8, [None, ("k", "v")], None),
+    ]
+    got = changes(snap(spark, [(*r, "clash", 9) for r in rows]))
+    assert got == sorted([
+        ("2023-02-28", 4, "removed"), ("2023-05-31", 4, "added"), ("2023-02-28", 5, "added"), ("2023-05-31", 5, "changed"), ("2023-05-31", 6, "changed"),
+        ("2023-05-31", 1, "removed"), ("2023-05-31", 2, "removed"), ("2023-05-31", 3, "removed"), ("2023-05-31", 8, "added"),
+    ])
+    assert changes(snap(spark, [])) == []
+
+
+def test_changes_equal_brute_force(spark):
+    rng = random.Random(1)
+    days = [date(2023, m, 1) for m in (1, 2, 4, 9)]
+    rows = [(d, i, [("k", rng.choice("ab"))], T0, "", 0) for d in days for i in range(60) if rng.random() < 0.7] + [(days[0], 7, [("k", "a")], T0, "", 0)] * 300
+    have = {(r[0], r[1]): r[2] for r in rows}
+    want = set()
+    for a, b in zip(days, days[1:]):
+        for i in range(60):
+            old, new = have.get((a, i)), have.get((b, i))
+            if old != new:
+                want.add((b.isoformat(), i, "added" if old is None else "removed" if new is None else "changed"))
+    assert set(changes(snap(spark, rows))) == want
+
+
+def test_changed_columns_are_typed(spark):
+    rows = [(date(2023, 1, 1), "k", 1, "a", T0), (date(2023, 1, 2), "k", 2, "a", T0), (date(2023, 1, 3), "k", None, "b", T0)]
+    df = spark.createDataFrame(rows, "day date, key string, n int, t string, at timestamp")
+    got = snapshots.snapshot_changes(df, ["key"], "day", "at", {"n": F.col("n"), "t": F.col("t")}).orderBy("day").collect()
+    assert [(r.change_kind, r.changed_columns) for r in got] == [("changed", ["n"]), ("changed", ["n", "t"])]
+
+
+# Proximity
+
+
+def brute_near(points, r):
+    rad = math.radians
+    out = set()
+    for (i, x, y), (j, u, v) in itertools.combinations(points, 2):
+        h = math.sin(rad(v - y) / 2) ** 2 + math.cos(rad(y)) * math.cos(rad(v)) * math.sin(rad(u - x) / 2) ** 2
+        if i != j and 2 * proximity.EARTH_M * math.asin(min(1, math.sqrt(h))) <= r:
+            out.add((min(i, j), max(i, j)))
+    return out
+
+
+def test_near_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "CELL_POINTS", 20)
+    rng = random.Random(2)
+    pts = [(i, -170 + rng.gauss(0, 0.001), 44 + rng.gauss(0, 0.001)) for i in range(300)]
+    pts += [(1000 + i, rng.choice([180.0, -180.0, 179.99999, -179.99999]), rng.uniform(-0.0002, 0.0002)) for i in range(40)]
+    pts += [(2000 + i, rng.uniform(-180, 180), 90 - rng.uniform(0, 0.00005)) for i in range(20)]
+    pts += [(3000 + i, 10.0, 10.0) for i in range(30)]  # one place
+    bad = [(None, 10.0, 10.0), (9001, None, 1.0), (9002, float("nan"), 1.0), (9003, 1.0, float("inf"))]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pts + bad], "id long, lon double, lat double, cell string, salt int")
+    got = [tuple(r) for r in proximity.near_pairs(df, 10.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(pts, 10.0)
+    assert proximity.near_pairs(df.limit(0), 10.0).count() == 0
+
+
+def test_current_nodes(spark):
+    row = lambda i, v, ok, x, y: (i, x, y, {}, v, ok, T0)
+    rows = [row(1, 1, True, 5.0, 5.0), row(1, 2, False, 5.0, 5.0), row(2, 2, True, 5.0, 5.0), row(2, 1, False, 6.0, 5.0), row(3, 1, True, 0.0, 0.0), row(4, 1, True, 181.0, 5.0), row(5, None, None, 5.0, 5.0), row(6, 1, True, None, 5.0), row(None, 1, True, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double, tags map<string,string>, version int, visible boolean, loaded_at timestamp")
+    assert sorted(r.id for r in proximity.current_nodes(df).collect()) == [2, 5]
+    assert [tuple(r) for r in proximity.near_nodes(df).collect()] == [("near", 2, 5)]
+
+
+def test_points_in_regions_equal_even_odd(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "CELL_POINTS", 10)
+    rng = random.Random(3)
+    star = lambda x, y, r, n: [(x + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), y + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    shapes = [(k, [star(rng.uniform(-1, 1), rng.uniform(-1, 1), 0.5, 8) + ([] if k % 2 else [])]) for k in range(20)]
+    shapes.append((100, [[(-2.0, -2.0), (2.0, -2.0), (2.0, 2.0), (-2.0, 2.0), (-2.0, -2.0)], [(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0), (-1.0, -1.0)]]))  # a hole
+    shapes += [(101, []), (102, None), (103, [None, []])]
+    pts = [(i, rng.uniform(-2.5, 2.5), rng.uniform(-2.5, 2.5)) for i in range(400)] + [(400, None, 1.0), (None, 0.0, 0.0)]
+    regions = spark.createDataFrame(shapes, "region_id long, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame(pts + pts[:5], "id long, lon double, lat double")
+
+    def inside(x, y, rings):
+        odd = False
+        for ring in rings or []:
+            for (a, b), (c, d) in zip(ring or [], (ring or [])[1:] + (ring or [])[:1]):
+                if (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a:
+                    odd = not odd
+        return odd
+
+    want = {(k, i) for k, rings in shapes for i, x, y in pts if i is not None and x is not None and inside(x, y, rings)}
+    got = [tuple(r) for r in proximity.points_in_regions(points, regions).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert proximity.points_in_regions(points.limit(0), regions).count() == 0
+    assert proximity.points_in_regions(points, regions.limit(0)).count() == 0
+
+
+def test_vantage_point_tree_is_exact():
+    rng = np.random.default_rng(4)
+    x = proximity.unit_vectors(rng.normal(0, 0.01, 500), rng.normal(0, 0.01, 500))
+    x = np.r_[x, x[:100]]
+    r = rng.uniform(0, 2000, 50)
+    got = {(int(a), int(b)) for q, p in proximity.VantagePointTree(x).within(x[:50], r) for a, b in zip(q, p)}
+    want = {(i, j) for i in range(50) for j in range(len(x)) if proximity.arc_m(x[i : i + 1], x[j : j + 1])[0] <= r[i]}
+    assert got == want
+
+
+# Nested records
+
+
+def kids(spark, payloads):
+    df = spark.createDataFrame([(i, p, "x", 1) for i, p in enumerate(payloads)], "raw_id long, payload string, object string, occ int")
+    return sorted(tuple(r)[1:] if len(payloads) == 1 else tuple(r) for r in nested.children(nested.flatten_elements(df, "raw_id", "payload")).collect())
+
+
+def test_children_of_nested_elements(spark):
+    doc = {
+        "osm": {"elements": [
+            {"type": "group", "id": "7", "tags": {"a": {"b": [1, 2.50, True, None, {"c": "z"}]}, "e": [], "n": None}, "elements": {"type": "node", "id": 8, "tags": [{"k": "x", "v": "y"}, {"k": "q", "v": None}]}, "meta": {"elements": [{"type": "node", "id": 99, "tags": {"no": "no"}}], "tags": {"m": 1}}},
+            {"type": "way", "id": 9, "nodes": [1, "2", None, {"ref": 3, "seq": 0}, 1]}, {"type": "other", "id": 1, "tags": {"t": 1}}, {"type": "way", "tags": {"t": 1}},
+        ]}
+    }
+    text = json.dumps(doc).replace("2.5", "2.50")
+    want = sorted([
+        ("group", 7, "tag", "a:b", "1"), ("group", 7, "tag", "a:b", "2.50"), ("group", 7, "tag", "a:b", "true"), ("group", 7, "tag", "a:b:c", "z"), ("group", 7, "element", "node", "8"), ("node", 8, "tag", "x", "y"),
+        ("way", 9, "node", "0", "1"), ("way", 9, "node", "1", "2"), ("way", 9, "node", "3", "3"), ("way", 9, "node", "4", "1"),
+    ])
+    assert kids(spark, [text]) == want
+    assert kids(spark, [json.dumps(text)]) == want  # encoded twice
+    assert kids(spark, [None, "", " ", text[:-1], text + "x", "{", "NaN", "5", '"x"', "[]", "null"]) == []
+
+
+def test_identical_objects_are_stored_once(spark):
+    e = {"type": "node", "id": 1, "tags": {"a": "b"}}
+    rows = [(i, json.dumps({"elements": [e, {"type": "group", "id": 5, "elements": [e, e]}]})) for i in range(40)]
+    t = nested.flatten_elements(spark.createDataFrame(rows, "raw_id long, payload string"), "raw_id", "payload")
+    assert (t.occurrences.count(), t.objects.count(), t.tags.count(), t.members.count()) == (160, 2, 1, 2)
+    top = t.occurrences.where("raw_id = 3").orderBy("occ").collect()
+    assert [(r.parent_occ, r.ordinal) for r in top] == [(None, 0), (None, 1), (1, 0), (1, 1)]
+    assert len({r.object for r in top}) == 2
+
+
+def test_very_deep_payload():
+    deep = 30_000
+    text = '{"type":"group","id":1,"elements":[' * deep + '{"type":"node","id":2}' + "]}" * deep
+    found = nested.elements_of(nested.parse_payload(text))
+    assert len(found) == deep + 1 and found[-1].kind == "node"
+    assert nested.parse_payload(text[:-1]) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text(max_size=5), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(max_size=4), c, max_size=4), max_leaves=20))
+def test_deep_parser_agrees(value):
+    text = json.dumps(value)
+    plain = lambda v: {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else int(v) if isinstance(v, nested._Number) else v
+    assert plain(nested._parse_deep(text)) == value
+    for cut in range(len(text)):
+        if isinstance(value, (dict, list)):
+            with pytest.raises(ValueError):
+                nested._parse_deep(text[:cut])
+
+
+# Packed values
+
+D = packed.Dialect()
+
+
+@pytest.mark.parametrize(
+    ("text", "ramp", "want"),
+    [
+        (None, False, []), ("", False, []), ("  ", False, []), ("A", False, ["A"]), ("A;;B", False, ["A", "B"]), (" A , B ", False, ["A", "B"]), ("77 1/2", False, ["77 1/2"]), ("7TH/8TH", False, ["7TH", "8TH"]),
+        ("A AND B", False, ["A AND B"]), ("D'X-Y", False, ["D'X-Y"]), ("I5-R7", True, ["I5", "R7"]), ('"A;B"|C', False, ["A;B", "C"]), ('"A ""B"" C"/D', False, ['A "B" C', "D"]), ("“A; B”\tC\nD", False, ["A; B", "C", "D"]),
+        ('A"; B', False, ['A"', "B"]), ("A  B", False, ["A", "B"]), ('X "A;B" Y;Z', False, ['X "A;B" Y', "Z"]), ("A;A", False, ["A", "A"]), ('""', False, []), ('"-"-B', True, ["-", "B"]),
+    ],
+)
+def test_split_values(text, ramp, want):
+    assert packed.split_values(text, D, ramp) == want
+
+
+def test_escapes_and_nesting():
+    d = packed.Dialect(escape="\\", brackets={"(": ")", "[": "]"})
+    assert packed.split_values(r"A\;B;C(D;[E,F];G),H(I", d) == ["A;B", "C(D;[E,F];G)", "H(I"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("AB;,\"' /1", min_size=1, max_size=8).filter(lambda s: s.strip() == s), min_size=1, max_size=5))
+def test_quoted_values_come_back(values):
+    text = ";".join('"' + v.replace('"', '""') + '"' for v in values)
+    assert packed.split_values(text, D) == values
+
+
+def test_street_names(spark):
+    rows = [(1, None, "A;B", "ST", 1.0, T0), (1, None, "A;B", "ST", 2.0, T0), (2, None, "A-B", "RAMP", 1.0, T0), (3, None, "A-B", "ST", 1.0, T0), (4, None, None, None, 1.0, T0), (5, None, "A;;", None, 1.0, T0), (6, None, "A / A", None, None, None)]
+    df = spark.createDataFrame(rows, "objectid long, prefix string, streetname string, ftype string, length_m double, loaded_at timestamp").withColumn("pos", F.lit("x")).withColumn("_k0", F.lit(1))
+    assert sorted(tuple(r) for r in packed.street_names(df).collect()) == [(1, 1, "A"), (1, 2, "B"), (2, 1, "A"), (2, 2, "B"), (6, 1, "A"), (6, 2, "A")]
+    assert packed.street_names(df.limit(0)).count() == 0
+    assert sorted(tuple(r) for r in packed.explode_packed(df.where("objectid in (3, 5)"), ["objectid"], "streetname").collect()) == [(3, 1, "A-B"), (5, 1, "A")]
+
+
+def test_very_long_packed_text():
+    assert len(packed.split_values(";".join(["A"] * 200_000), D)) == 200_000
+    assert len(packed.split_values('"' + "A;" * 100_000, D)) == 100_001 - 1
+
+
+# Orphans
+
+
+def brute_orphans(ways, jcts, nodes):
+    month = lambda t: t.year * 12 + t.month
+    out = set()
+    refs = [("osm_ways", t, i, n) for i, ns, t in ways for n in ns or []] + [("jcts", t, i, n) for i, n, t in jcts]
+    for table, t, i, n in refs:
+        if n is None or t is None:
+            continue
+        rows = [(v if v is not None else -1, ok if ok is not None else True) for k, v, ok, at in nodes if k == n and at is not None and month(at) <= month(t)]
+        if not rows or not max(rows)[1]:
+            out.add((table, t.strftime("%Y-%m"), i, n))
+    return out
+
+
+@pytest.mark.parametrize("share", [2, 5, 1000])
+def test_orphans_equal_brute_force(spark, share):
+    rng = random.Random(share)
+    when = lambda: datetime(2023, rng.randint(1, 6), rng.randint(1, 28))
+    nodes = [(rng.randint(1, 30), rng.randint(1, 3), rng.random() < 0.8, when()) for _ in range(60)] + [(31, None, None, when()), (None, 1, True, when()), (32, 1, True, None)]
+    ways = [(i, [rng.choice([3, 3, 3, None, rng.randint(1, 35)]) for _ in range(rng.randint(0, 5))], when()) for i in range(80)] + [(900, None, when()), (901, [77], None), (None, [77], when())]
+    jcts = [(i, rng.choice([3, None, rng.randint(1, 40)]), when()) for i in range(50)]
+    w = spark.createDataFrame(ways + ways[:9], "id long, nodes array<long>, loaded_at timestamp").withColumn("key", F.lit("x"))
+    j = spark.createDataFrame(jcts, "jct_id long, node_id long, loaded_at timestamp").withColumn("period", F.lit(1))
+    n = spark.createDataFrame(nodes, "id long, version int, visible boolean, loaded_at timestamp").withColumn("month", F.lit("x"))
+    got = [tuple(r) for r in orphans.orphan_references(w, j, n, share).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_orphans(ways, jcts, nodes)
+    assert orphans.orphan_references(w.limit(0), j.limit(0), n, share).count() == 0
+    everything = orphans.orphan_references(w, j, n.limit(0), share)
+    assert everything.count() == len(brute_orphans(ways, jcts, []))
+    report = orphans.orphan_report(everything).collect()
+    assert sum(r.n_refs for r in report) == everything.count()
+
+
+def test_salted_join_equals_join(spark):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, None]), i) for i in range(400)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (9, "d"), (None, "e")], "k long, w string")
+    for how in ("inner", "left"):
+        a = sorted(map(str, salted_join(left, right, "k", how, share=3, salts=4).select("k", "v", "w").collect()))
+        assert a == sorted(map(str, left.join(right, "k", how).select("k", "v", "w").collect()))
