@@ -107,6 +107,8 @@ class Backtracking:
         if known is not None and (len(piece) == 1 or self.halves[known][0] != known):
             return [known]
         n = len(piece)
+        if not n:
+            return []
         longest, reach = [-1] * n, [0] * n
         for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
             start = end - size + 1
