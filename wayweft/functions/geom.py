@@ -56,29 +56,47 @@ def length(pts: Column) -> Column:
     return F.when(pts.isNotNull(), F.aggregate(legs, F.lit(0.0), lambda a, b: a + b))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it, and never inlined by the optimizer."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def interpolate(pts: Column, d: Column) -> Column:
     """The point at distance d along the line, d clamped to the line."""
-    start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), F.lit(None).cast(POINT).alias("hit"))
+    start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), F.lit(None).cast(POINT).alias("hit"), F.greatest(d.cast("double"), F.lit(0.0)).alias("d"))
 
     def walk(s: Column, q: Column) -> Column:
-        leg = distance(s["p"], q)
-        t = F.when(leg > 0, (F.greatest(d.cast("double"), F.lit(0.0)) - s["run"]) / leg).otherwise(0.0)
-        p = F.struct((s["p"]["x"] + t * (q["x"] - s["p"]["x"])).alias("x"), (s["p"]["y"] + t * (q["y"] - s["p"]["y"])).alias("y"))
-        return F.struct(q.alias("p"), (s["run"] + leg).alias("run"), F.when(s["hit"].isNull() & (s["run"] + leg >= d), p).otherwise(s["hit"]).alias("hit"))
+        def step(leg: Column) -> Column:
+            t = F.when(leg > 0, (s["d"] - s["run"]) / leg).otherwise(0.0)
+            p = F.struct((s["p"]["x"] + t * (q["x"] - s["p"]["x"])).alias("x"), (s["p"]["y"] + t * (q["y"] - s["p"]["y"])).alias("y"))
+            return F.struct(q.alias("p"), (s["run"] + leg).alias("run"), F.when(s["hit"].isNull() & (s["run"] + leg >= s["d"]), p).otherwise(s["hit"]).alias("hit"), s["d"].alias("d"))
+
+        return let(distance(s["p"], q), step)
 
     return F.aggregate(_rest(pts), start, walk, lambda s: F.coalesce(s["hit"], s["p"]))
 
 
 def project(pts: Column, p: Column) -> Column:
     """Distance along the line to its place nearest to p; of several the first."""
-    start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), distance(first(pts), p).alias("best"), F.lit(0.0).alias("along"))
+    start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), distance(first(pts), p).alias("best"), F.lit(0.0).alias("along"), p["x"].alias("u"), p["y"].alias("v"))
 
     def walk(s: Column, q: Column) -> Column:
-        dx, dy, leg = q["x"] - s["p"]["x"], q["y"] - s["p"]["y"], distance(s["p"], q)
-        t = F.when(leg > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((p["x"] - s["p"]["x"]) * dx + (p["y"] - s["p"]["y"]) * dy) / (leg * leg)))).otherwise(0.0)
-        off = distance(p, F.struct((s["p"]["x"] + t * dx).alias("x"), (s["p"]["y"] + t * dy).alias("y")))
-        nearer = off < s["best"]
-        return F.struct(q.alias("p"), (s["run"] + leg).alias("run"), F.when(nearer, off).otherwise(s["best"]).alias("best"), F.when(nearer, s["run"] + t * leg).otherwise(s["along"]).alias("along"))
+        dx, dy = q["x"] - s["p"]["x"], q["y"] - s["p"]["y"]
+
+        def step(leg: Column) -> Column:
+            t = F.when(leg > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((s["u"] - s["p"]["x"]) * dx + (s["v"] - s["p"]["y"]) * dy) / (leg * leg)))).otherwise(0.0)
+
+            def place(t: Column) -> Column:
+                ox, oy = s["u"] - s["p"]["x"] - t * dx, s["v"] - s["p"]["y"] - t * dy
+                return F.struct(F.sqrt(ox * ox + oy * oy).alias("off"), (s["run"] + t * leg).alias("along"))
+
+            def keep(m: Column) -> Column:
+                nearer = m["off"] < s["best"]
+                return F.struct(q.alias("p"), (s["run"] + leg).alias("run"), F.when(nearer, m["off"]).otherwise(s["best"]).alias("best"), F.when(nearer, m["along"]).otherwise(s["along"]).alias("along"), s["u"].alias("u"), s["v"].alias("v"))
+
+            return let(let(t, place), keep)
+
+        return let(distance(s["p"], q), step)
 
     return F.aggregate(_rest(pts), start, walk, lambda s: s["along"])
 
@@ -88,18 +106,24 @@ def cut(pts: Column, d: Column) -> Column:
 
     A vertex at exactly d is used for both parts; otherwise a new point ends the one and starts the other.
     """
-    start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), F.lit(1).alias("k"), F.lit(0.0).alias("at"))
+    start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), F.lit(1).alias("k"), F.lit(0.0).alias("at"), d.cast("double").alias("d"))
 
     def walk(s: Column, q: Column) -> Column:
-        run = s["run"] + distance(s["p"], q)
-        return F.struct(q.alias("p"), run.alias("run"), (s["k"] + F.when(run <= d, 1).otherwise(0)).alias("k"), F.when(run <= d, run).otherwise(s["at"]).alias("at"))
-
-    k = F.aggregate(_rest(pts), start, walk, lambda s: F.struct(s["k"].alias("k"), s["at"].alias("at"), s["run"].alias("all")))
-    new = interpolate(pts, d)
-    head, tail = F.slice(pts, F.lit(1), k["k"]), F.slice(pts, k["k"] + 1, F.greatest(F.size(pts) - k["k"], F.lit(0)))
-    exact = k["at"] == d
-    both = F.struct(F.when(exact, head).otherwise(F.array_append(head, new)).alias("head"), F.when(exact, F.array_prepend(tail, F.element_at(pts, k["k"]))).otherwise(F.array_prepend(tail, new)).alias("tail"))
-    return F.when((d > 0) & (d < k["all"]), both)
+        def step(run: Column) -> Column:
+            return F.struct(q.alias("p"), run.alias("run"), (s["k"] + F.when(run <= s["d"], 1).otherwise(0)).alias("k"), F.when(run <= s["d"], run).otherwise(s["at"]).alias("at"), s["d"].alias("d"))
+
+        return let(s["run"] + distance(s["p"], q), step)
+
+    def parts(k: Column) -> Column:
+        head, tail = F.slice(pts, F.lit(1), k["k"]), F.slice(pts, k["k"] + 1, F.greatest(F.size(pts) - k["k"], F.lit(0)))
+
+        def joined(new: Column) -> Column:
+            return F.struct(F.when(k["at"] == k["d"], head).otherwise(F.array_append(head, new)).alias("head"), F.array_prepend(tail, new).alias("tail"))
+
+        new = F.when(k["at"] == k["d"], F.element_at(pts, k["k"])).otherwise(interpolate(pts, k["d"]))
+        return F.when((k["d"] > 0) & (k["d"] < k["run"]), let(new, joined))
+
+    return let(F.aggregate(_rest(pts), start, walk), parts)
 
 
 def compass_bearing(p: Column, q: Column) -> Column:
