@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayweft.functions.binding import let
+
 POINT = "struct<x:double,y:double>"
 LINE = f"array<{POINT}>"
 
@@ -56,11 +58,6 @@ def length(pts: Column) -> Column:
     return F.when(pts.isNotNull(), F.aggregate(legs, F.lit(0.0), lambda a, b: a + b))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often body uses it, and never inlined by the optimizer."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def interpolate(pts: Column, d: Column) -> Column:
     """The point at distance d along the line, d clamped to the line."""
     start = F.struct(first(pts).alias("p"), F.lit(0.0).alias("run"), F.lit(None).cast(POINT).alias("hit"), F.greatest(d.cast("double"), F.lit(0.0)).alias("d"))

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayweft.functions.binding import let
+
 #: Words and their canonical abbreviations (directions, titles, postal street types).
 #: Variant spellings of street types are the caller's to add, see CanonConfig.with_words().
 WORDS = {
@@ -120,7 +122,7 @@ def match_probability(names1: Column, names2: Column, cfg: CanonConfig | None =
     """
     if cfg is not None:
         names1, names2 = F.transform(names1, lambda n: canonical(n, cfg)), F.transform(names2, lambda n: canonical(n, cfg))
-    return F.array_max(F.flatten(F.transform(names1, lambda a: F.transform(names2, lambda b: 1 - levenshtein_ratio(a, b)))))
+    return let(names2, lambda others: F.array_max(F.flatten(F.transform(names1, lambda a: F.transform(others, lambda b: 1 - levenshtein_ratio(a, b))))))
 
 
 def match_score(names1: Column, names2: Column, cfg: CanonConfig | None = DEFAULT) -> Column:

@@ -150,11 +150,11 @@ def match_stats(net: Network) -> DataFrame:
     )
     matched = F.col("match_id").isNotNull() if "match_id" in net.jcts.columns else F.lit(False)
     jct = net.jcts.agg(F.count("*").alias("num_jcts"), F.count_if(matched).alias("num_jcts_matched"))
-    both = seg.crossJoin(F.broadcast(jct))  # one row each
+    both = seg.withColumn("_one", F.lit(1)).join(F.broadcast(jct.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row each
     return both.withColumns({"percent_segs_matched": maps.percent(F.col("num_segs_matched"), F.col("num_segs")), "percent_jcts_matched": maps.percent(F.col("num_jcts_matched"), F.col("num_jcts"))})
 
 
-def bbox(lines: DataFrame, pts: str = "pts") -> DataFrame:
-    """One row xmin, ymin, xmax, ymax over all points; nulls for none. Partial aggregation on each task."""
+def bbox(lines: DataFrame, pts: str = "pts", by: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of `by`) xmin, ymin, xmax, ymax over all points; nulls for none."""
     axis = lambda end, k: end(F.transform(pts, lambda p: p[k]))
-    return lines.select(axis(F.array_min, "x").alias("a"), axis(F.array_min, "y").alias("b"), axis(F.array_max, "x").alias("c"), axis(F.array_max, "y").alias("d")).agg(F.min("a").alias("xmin"), F.min("b").alias("ymin"), F.max("c").alias("xmax"), F.max("d").alias("ymax"))
+    return lines.select(*by, axis(F.array_min, "x").alias("a"), axis(F.array_min, "y").alias("b"), axis(F.array_max, "x").alias("c"), axis(F.array_max, "y").alias("d")).groupBy(*by).agg(F.min("a").alias("xmin"), F.min("b").alias("ymin"), F.max("c").alias("xmax"), F.max("d").alias("ymax"))

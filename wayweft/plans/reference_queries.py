@@ -16,8 +16,8 @@ from wayweft.functions.projection import Projection, parse_proj4
 from wayweft.operators import features, grid, matching, network, osm, scoring
 from wayweft.operators.network import Network
 from wayweft.plans import reports
-from wayweft.runtime import table
-from wayweft.sources import geojson, osm_files
+from wayweft.runtime import shared_path, table
+from wayweft.sources import geojson, osm_files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -292,11 +292,7 @@ def g16_back(spark, d):
 WITH v AS (SELECT region_id, kind, unnest(flatten(rings)) AS p FROM regions) SELECT kind, round(min(p.x), 6) AS xmin, round(min(p.y), 6) AS ymin, round(max(p.x), 6) AS xmax, round(max(p.y), 6) AS ymax FROM v GROUP BY kind""")
 def a1(spark, d):
     rows = table(spark, d, "regions").select("kind", F.flatten("rings").alias("pts"))
-    out = None
-    for kind in sorted(r.kind for r in rows.select("kind").distinct().collect()):  # a handful of kinds, whatever the scale
-        one = network.bbox(rows.where(F.col("kind") == kind)).select(F.lit(kind).alias("kind"), *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
-        out = one if out is None else out.unionByName(one)
-    return out
+    return network.bbox(rows, by=["kind"]).select("kind", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 RECT = (-170.2, 43.8, -169.9, 44.1)
@@ -687,3 +683,43 @@ def s6(spark, d):
     read = F.try_variant_get(F.try_parse_json("payload"), "$.elements", "array<variant>")
     e = whole.select(F.explode(read).alias("e")).where(F.try_variant_get("e", "$.type", "string") == "node")
     return e.select(F.try_variant_get("e", "$.id", "bigint").alias("node_id"), F.round(F.try_variant_get("e", "$.lon", "double"), 6).alias("lon"), F.round(F.try_variant_get("e", "$.lat", "double"), 6).alias("lat")).distinct()
+
+
+# Round trips through files, in the shared folder
+
+
+@query("ref_s1_k1_geojson_round_trip", f"""
+WITH {_CITY} SELECT objectid, part, fullname AS name, len(pts) AS points, round({_LENGTH}, 3) AS length FROM city""")
+def s1(spark, d):
+    rows = _city(spark, d).select(F.col("objectid").alias("ord"), F.col("objectid").alias("feature_id"), "geom_type", "parts", "props")
+    path = shared_path(spark, "geojson")
+    geojson.write_feature_lines(rows, path)
+    back = network.line_parts(geojson.read_features(spark, path, lines=True))
+    return back.select(F.col("feature_id").alias("objectid"), F.col("part").cast("long").alias("part"), features.text_of(F.col("props"), "FULLNAME").alias("name"), F.size("pts").cast("long").alias("points"), _r(geom.length(F.col("pts"))).alias("length"))
+
+
+@query("ref_s4_osm_xml_round_trip", f"WITH {_WAYS} SELECT way_id, array_to_string(node_ids, ',') AS node_ids, tags['name'] AS name FROM ways")
+def s4(spark, d):
+    """Ways written as XML and read back by the XML scan."""
+    path = shared_path(spark, "xml")
+    nd = F.transform("node_ids", lambda n: F.struct(F.lit(None).cast("string").alias("_VALUE"), n.alias("_ref")))
+    tag = F.transform(F.map_entries("tags"), lambda e: F.struct(F.lit(None).cast("string").alias("_VALUE"), e["key"].alias("_k"), e["value"].alias("_v")))
+    _ways(spark, d).select(F.col("way_id").alias("_id"), nd.alias("nd"), tag.alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "way").save(path)
+    return osm_files.read_xml(spark, path).ways.select("way_id", _ids("node_ids").alias("node_ids"), F.element_at("tags", "name").alias("name"))
+
+
+@query("ref_s10_k6_csv_round_trip", "SELECT DISTINCT objectid, coalesce(prefix, '') AS prefix, coalesce(streetname, '') AS streetname, coalesce(ftype, '') AS ftype FROM rlis_streets")
+def s10(spark, d):
+    columns = ["objectid", "prefix", "streetname", "ftype"]
+    path = shared_path(spark, "csv")
+    tables.write_csv_files(table(spark, d, "rlis_streets").select("objectid", *[F.coalesce(c, F.lit("")).alias(c) for c in columns[1:]]).distinct(), path)
+    back = tables.read_csv(spark, path, len(columns)).where("c0 <> 'objectid'")
+    return back.select(F.col("c0").cast("long").alias("objectid"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns[1:], 1)])
+
+
+@query("ref_k9_k10_network_tables", f"WITH {_CITY_NET} SELECT seg_id, from_jct, to_jct FROM segs")
+def k9(spark, d):
+    """The network's rows as the table sink lays them out."""
+    rows = geojson.network_features(_city_network(spark, d)).where("geom_type = 'LineString'")
+    own = maps.network_namespace("city")
+    return rows.select(F.col("feature_id").alias("seg_id"), *[F.element_at("props", f"{own}{c}_id").cast("long").alias(c) for c in ("from_jct", "to_jct")])

@@ -71,14 +71,20 @@ def _forget() -> None:
     _written.clear()
 
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_forget)
     _written.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: a lineage cut that survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,9 +106,9 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], weight: str, share: int) ->
 
     counts has one row for each combination of keys (and possibly finer ones); weight is summed.
     """
-    per_key = counts.groupBy(*keys).agg(F.sum(weight).alias("_w"))
-    total = counts.agg(F.sum(weight).alias("_t"))
-    return per_key.join(F.broadcast(total), F.col("_w") * share >= F.col("_t")).select(*keys)
+    per_key = counts.groupBy(*keys).agg(F.sum(weight).alias("_w"), F.lit(1).alias("_one"))
+    total = counts.agg(F.sum(weight).alias("_t"), F.lit(1).alias("_one"))  # one row
+    return per_key.join(F.broadcast(total), "_one").where(F.col("_w") * share >= F.col("_t")).select(*keys)
 
 
 def month_index(ts: Column) -> Column:
