@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayweft.functions import names as N
+from wayweft.functions.binding import let
 from wayweft.operators.skew import salted_join
 from wayweft.runtime import discard, materialise, ship
 
@@ -195,12 +196,16 @@ def _step(value: Column, table: tuple, upward: bool) -> Column:
 
 def _name_parts(name: Column) -> Column:
     """struct(core, side): the canonical name without leading direction and side-road words, and whether it had such."""
-    words = F.split(N.canonical(name), " ")
-    side = F.exists(words, lambda w: F.levenshtein(w, F.lit(SIDE_ROAD)) <= 2)
-    own = F.filter(words, lambda w: F.levenshtein(w, F.lit(SIDE_ROAD)) > 2)
-    own = F.when(side & (F.element_at(own, -1) == "RD"), F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
-    own = F.when((F.size(own) > 1) & F.get(own, F.lit(0)).isin(*DIRECTIONS), F.slice(own, 2, F.greatest(F.size(own), F.lit(1)))).otherwise(own)
-    return F.struct(F.array_join(own, " ").alias("core"), side.alias("side"))
+    flag = lambda w: F.levenshtein(w, F.lit(SIDE_ROAD)) <= 2
+
+    def shorten(words: Column) -> Column:
+        side = F.exists(words, flag)
+        own = F.filter(words, lambda w: ~flag(w))
+        road = lambda o: F.when(side & (F.element_at(o, -1) == "RD"), F.slice(o, 1, F.greatest(F.size(o) - 1, F.lit(0)))).otherwise(o)
+        core = lambda o: F.when((F.size(o) > 1) & F.get(o, F.lit(0)).isin(*DIRECTIONS), F.slice(o, 2, F.greatest(F.size(o), F.lit(1)))).otherwise(o)
+        return F.struct(F.array_join(let(let(own, road), core), " ").alias("core"), side.alias("side"))
+
+    return let(F.split(N.canonical(name), " "), shorten)
 
 
 def _described(names: Column) -> Column:

@@ -97,12 +97,13 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: float | None = None
     records = chosen.select("id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
     mixed = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
-    used = mixed.agg(F.sum("mixed_tokens").alias("all_tokens"))
+    used = mixed.agg(F.sum("mixed_tokens").alias("all_tokens")).withColumn("_one", F.lit(1))
     shares = (
         stock.join(plans, stock["source"].eqNullSafe(planned["source"]), "full_outer")
         .select(F.coalesce(stock["source"], planned["source"]).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), "max_repeat", F.coalesce("epochs", F.lit(0.0)).alias("epochs"), F.coalesce("planned_tokens", F.lit(0.0)).alias("planned_tokens"))
         .join(mixed, "source", "left")
-        .crossJoin(F.broadcast(used))  # one row
+        .withColumn("_one", F.lit(1))
+        .join(F.broadcast(used), "_one")  # one row
         .select("source", "target_share", "available_tokens", "max_repeat", "epochs", "planned_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
     )
     return Mix(records, shares)
