@@ -38,7 +38,7 @@ PARTS, SPARE = 4, 0.15
 #: A pair is a match from this probability on.
 MATCH = 0.5
 #: Belief propagation: damping, largest change of a message when it has settled, and the most rounds.
-DAMPING, SETTLED, ROUNDS = 0.3, 0.01, 30
+DAMPING, SETTLED, ROUNDS = 0.1, 0.01, 40
 
 #: Log-odds of the attributes, from the reading that fits first.
 PRIOR = -1.0
@@ -232,15 +232,18 @@ def propagate(pairs: DataFrame) -> DataFrame:
 
     A factor lets at most one of the pairs that claim a part be true. With L the odds message of a pair to a factor,
     the factor answers -log(1 + sum of exp(L) of its other pairs); a pair's belief is its own odds plus all answers.
+    Parts of a line that the same pairs claim are one factor, else their exclusion would count several times.
     Sums go through groupBy with partial aggregation, so a factor of any size is never one task's list. Pairs that
     share no part with another one are settled at once. Every round is written to the shared folder.
     """
     pairs = materialise(pairs, "odds")
-    pair = F.struct("c_id", "o_id")
     claims = pairs.select("c_id", "o_id", "odds", F.explode(F.concat(F.transform("c_parts", lambda k: F.struct(F.lit(0).alias("side"), F.col("c_id").alias("line"), k.alias("part"))), F.transform("o_parts", lambda k: F.struct(F.lit(1).alias("side"), F.col("o_id").alias("line"), k.alias("part"))))).alias("f"))
-    claims = claims.select("c_id", "o_id", "odds", F.xxhash64("f.side", "f.line", "f.part").alias("factor"))
-    shared = claims.groupBy("factor").agg(F.count("*").alias("n")).where("n > 1").select("factor")
-    state = materialise(claims.join(shared, "factor").withColumn("answer", F.lit(0.0)), "messages")
+    claims = claims.select("c_id", "o_id", "odds", F.col("f.side").alias("side"), F.col("f.line").alias("line"), F.col("f.part").alias("part"))
+    claimed = claims.groupBy("side", "line", "part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c_id", "o_id")).alias("set")).where("n > 1")
+    shared = claimed.groupBy("side", "line", "n", "set").agg(F.min("part").alias("part"))
+    shared = shared.select("side", "line", "part", F.xxhash64("side", "line", "part").alias("factor"))
+    claims = claims.join(shared, ["side", "line", "part"]).select("factor", "c_id", "o_id", "odds")
+    state = materialise(claims.withColumn("answer", F.lit(0.0)), "messages")
     for _ in range(ROUNDS):
         belief = state.groupBy("c_id", "o_id").agg(F.sum("answer").alias("all"))
         asked = state.join(belief, ["c_id", "o_id"]).withColumn("ask", F.exp(F.least(F.greatest(F.col("odds") + F.col("all") - F.col("answer"), F.lit(-30.0)), F.lit(30.0))))
