@@ -137,7 +137,8 @@ def test_units(spark):
 def test_projections(spark, text, lonlat, planar):
     proj = parse_proj4(text)
     assert proj.numbers(*lonlat) == pytest.approx(planar, abs=0.01)
-    r = one(spark, p=proj.point(geom.point(F.lit(lonlat[0]), F.lit(lonlat[1]))), q=proj.point(proj.point(geom.point(F.lit(lonlat[0]), F.lit(lonlat[1]))), reverse=True))
+    there = spark.createDataFrame([lonlat], "x double, y double").withColumn("p", proj.point(F.struct("x", "y")))
+    r = there.withColumn("q", proj.point(F.col("p"), reverse=True)).first()
     assert (r.p.x, r.p.y) == pytest.approx(planar, abs=0.01) and (r.q.x, r.q.y) == pytest.approx(lonlat, abs=1e-9)
 
 
