@@ -169,8 +169,8 @@ def _pivots(points: DataFrame) -> tuple[Pivots, np.ndarray, int]:
     draw = wanted * SAMPLE_FACTOR
     h = F.pmod(F.xxhash64(F.lit(11), "id", "lon", "lat"), F.lit(1 << 40))
     drawn = points.where(h <= int(min(1.0, 1.5 * draw / max(n, 1)) * (1 << 40))).select(h.alias("h"), "lon", "lat").orderBy("h").limit(draw)
-    rows = np.array([(r.lon, r.lat) for r in drawn.collect()], float).reshape(-1, 2)  # at most MAX_PIVOTS * SAMPLE_FACTOR
-    sample = unit_vectors(rows[:, 0], rows[:, 1])
+    rows = drawn.toArrow()  # at most MAX_PIVOTS * SAMPLE_FACTOR rows of 24 bytes
+    sample = unit_vectors(rows["lon"].to_numpy(), rows["lat"].to_numpy())
     pivots = Pivots(sample, wanted)
     full = np.bincount(pivots.homes(sample), minlength=pivots.cells) * (n / max(len(sample), 1)) if len(sample) else np.zeros(pivots.cells)
     return pivots, np.maximum(1, np.ceil(full / (4 * CELL_POINTS))).astype(np.int64), n
