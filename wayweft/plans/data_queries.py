@@ -71,6 +71,15 @@ found AS (SELECT DISTINCT r.ref_table, strftime(r.m, '%Y-%m') AS period, r.ref_i
   FROM refs r JOIN keys k ON r.node_id = k.node_id AND r.m = k.m LEFT JOIN live l ON l.node_id = r.node_id AND l.m = r.m WHERE l.ok IS NULL OR NOT l.ok)
 """
 
+_BLANK = r"[ \t\n\r\f\v]"
+_PIECE = r'("(?:[^"]|"")*"|“[^”]*”|[0-9](?:/[0-9])+|[^;,|&/\t\n\r%s])+'
+_P4 = f"""
+WITH last AS (SELECT objectid, streetname AS s, ftype FROM rlis_streets QUALIFY row_number() OVER (PARTITION BY objectid ORDER BY loaded_at DESC NULLS LAST, streetname DESC NULLS LAST, ftype DESC NULLS LAST) = 1),
+pieces AS (SELECT objectid, CASE WHEN upper(trim(ftype)) = 'RAMP' THEN regexp_extract_all(s, '{_PIECE % "-"}') ELSE regexp_extract_all(s, '{_PIECE % ""}') END AS p FROM last WHERE s IS NOT NULL),
+cut AS (SELECT objectid, list_transform(p, lambda v: regexp_replace(v, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS p FROM pieces),
+plain AS (SELECT objectid, list_filter(list_transform(p, lambda v: CASE WHEN regexp_full_match(v, '"(?:[^"]|"")*"') THEN trim(replace(v[2:-2], '""', '"')) WHEN regexp_full_match(v, '“[^”]*”') THEN trim(v[2:-2]) ELSE v END), lambda v: v <> '') AS v FROM cut)
+SELECT objectid, unnest(range(1, len(v) + 1)) AS pos, unnest(v) AS value FROM plain WHERE len(v) >= 2"""
+
 SQL: dict[str, str] = {
     "p1_found": r"""
 WITH canon AS (
@@ -97,6 +106,7 @@ p AS (SELECT DISTINCT jct_id, point.x AS x, point.y AS y FROM jcts WHERE point I
 sides AS (SELECT region_id, jct_id, x, y, count(*) AS n FROM (SELECT region_id, e[1].x AS x0, e[1].y AS y0, e[2].x AS x1, e[2].y AS y1 FROM edges) e
   JOIN p ON (y0 > y) <> (y1 > y) WHERE x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY ALL)
 SELECT 'near' AS kind, a_id, b_id FROM near UNION ALL SELECT DISTINCT 'in', region_id, jct_id FROM sides WHERE n % 2 = 1""",
+    "p4_found": _P4,
     "p5_found": _P5 + "SELECT * FROM found",
     "p5_report": _P5 + "SELECT ref_table, period, count(*) AS n_refs, count(DISTINCT node_id) AS n_keys FROM found GROUP BY 1, 2",
 }
