@@ -1,6 +1,7 @@
 """Tests of the operators for training data: exact round trips, brute force, and fixtures with a known answer."""
 
 import json
+import math
 import os
 import random
 
@@ -256,6 +257,49 @@ def test_belief_propagation_is_exact_on_trees(spark):
     assert [got[r[0], r[1]] for r in rows] == pytest.approx(want, abs=0.02)
 
 
+def fixed_point(rows):
+    """Confidences where one factor of each distinct set of claimants has come to rest: plain loops, heavy damping."""
+    factors = {}
+    for side, line, parts in ((0, 0, 4), (1, 1, 5)):
+        for key in {(r[line], k) for r in rows for k in r[parts]}:
+            who = tuple(i for i, r in enumerate(rows) if r[line] == key[0] and key[1] in r[parts])
+            if len(who) > 1:
+                factors[side, key[0], who] = dict.fromkeys(who, 0.0)
+    for _ in range(1500):
+        total = [r[6] + sum(f[i] for f in factors.values() if i in f) for i, r in enumerate(rows)]
+        fresh = [{i: -math.log1p(sum(math.exp(total[j] - f[j]) for j in f if j != i)) for i in f} for f in factors.values()]
+        moved = max(abs(new[i] - f[i]) for f, new in zip(factors.values(), fresh) for i in f)
+        for f, new in zip(factors.values(), fresh):
+            f.update({i: 0.9 * f[i] + 0.1 * new[i] for i in f})
+    assert moved < 1e-6
+    return [1 / (1 + math.exp(-r[6] - sum(f[i] for f in factors.values() if i in f))) for i, r in enumerate(rows)]
+
+
+CLAIMS = "c_id long, o_id long, cover double, apart_m double, c_parts array<int>, o_parts array<int>, odds double"
+ALL = [0, 1, 2, 3]
+
+
+def swinging(first=0, odds=7.0):
+    """Two parallel lines against one whole and two half lines, all equally likely."""
+    pieces = ((1, ALL), (2, [0, 1]), (3, [2, 3]))
+    return [(first + c, first + o, 1.0, 1.0, parts, ALL, odds) for c in (1, 2) for o, parts in pieces]
+
+
+def test_messages_that_swing_come_to_rest(spark):
+    """Several components at once: ones that settle in a few rounds, a long chain, and ones that swing undamped."""
+    chain = [(100 + (k + 1) // 2, 100 + k // 2, 1.0, 1.0, ALL, ALL, 0.3 + k % 3) for k in range(40)]
+    rows = [*swinging(), *swinging(10, 5.0), *chain, (900, 900, 1.0, 1.0, ALL, ALL, 1.0)]
+    got = {(r.c_id, r.o_id): r.confidence for r in entity_match.propagate(spark.createDataFrame(rows, CLAIMS)).collect()}
+    assert len(got) == len(rows)
+    assert [got[r[:2]] for r in rows] == pytest.approx(fixed_point(rows), abs=0.02)
+
+
+def test_messages_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(entity_match, "ROUNDS", 5)
+    with pytest.raises(RuntimeError, match="6 pairs have not settled"):
+        entity_match.propagate(spark.createDataFrame(swinging(), CLAIMS))
+
+
 def test_parse_lines():
     assert entity_match.parse_lines(None) == [] and entity_match.parse_lines("[1]") == [] and entity_match.parse_lines('{"type":"LineString","coordinates":[[1,2]]}') == []
     swapped = entity_match.parse_lines('{"type":"MultiLineString","coordinates":[[[43,-170,5],[44,-171]],null,[["x",1]]]}')

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wayweft.functions import names as N
 from wayweft.functions.binding import let
 from wayweft.operators.skew import salted_join
-from wayweft.runtime import discard, materialise, ship
+from wayweft.runtime import discard, materialise, shared_path, ship
 
 #: Metres: how far apart lines may run, spacing of stations, longest piece, overhang at the ends of a piece.
 REACH_M, STATION_M, PIECE_M, OVERHANG_M = 25.0, 8.0, 60.0, 1.5
@@ -37,8 +37,11 @@ _M_PER_DEG = 111_195.08
 PARTS, SPARE = 4, 0.15
 #: A pair is a match from this probability on.
 MATCH = 0.5
-#: Belief propagation: damping, largest change of a message when it has settled, and the most rounds.
-DAMPING, SETTLED, ROUNDS = 0.1, 0.01, 40
+#: Belief propagation: damping at first, change of a message (before damping) under which it has settled, and the rounds
+#: after which messages that have not settled are an error.
+DAMPING, SETTLED, ROUNDS = 0.1, 0.01, 400
+#: After each so many rounds what has settled leaves, and what stays is damped more: its undamped share is halved, down to a least one.
+STRETCH, LEAST_SHARE = 10, 0.1
 
 #: Log-odds of the attributes, from the reading that fits first.
 PRIOR = -1.0
@@ -235,6 +238,11 @@ def propagate(pairs: DataFrame) -> DataFrame:
     Parts of a line that the same pairs claim are one factor, else their exclusion would count several times.
     Sums go through groupBy with partial aggregation, so a factor of any size is never one task's list. Pairs that
     share no part with another one are settled at once. Every round is written to the shared folder.
+
+    With little damping, components with overlapping factors swing. Rounds go on until no message changes by SETTLED;
+    components that have settled leave the loop, and those that stay are damped more and more. A component is known by
+    its least factor, which travels along with the messages; it is whole once no message of that name saw another
+    name around it. If messages still change after ROUNDS rounds, this fails rather than return them.
     """
     pairs = materialise(pairs, "odds")
     claims = pairs.select("c_id", "o_id", "odds", F.explode(F.concat(F.transform("c_parts", lambda k: F.struct(F.lit(0).alias("side"), F.col("c_id").alias("line"), k.alias("part"))), F.transform("o_parts", lambda k: F.struct(F.lit(1).alias("side"), F.col("o_id").alias("line"), k.alias("part"))))).alias("f"))
@@ -243,19 +251,33 @@ def propagate(pairs: DataFrame) -> DataFrame:
     shared = claimed.groupBy("side", "line", "n", "set").agg(F.min("part").alias("part"))
     shared = shared.select("side", "line", "part", F.xxhash64("side", "line", "part").alias("factor"))
     claims = claims.join(shared, ["side", "line", "part"]).select("factor", "c_id", "o_id", "odds")
-    state = materialise(claims.withColumn("answer", F.lit(0.0)), "messages")
-    for _ in range(ROUNDS):
-        belief = state.groupBy("c_id", "o_id").agg(F.sum("answer").alias("all"))
+    state = materialise(claims.withColumns({"answer": F.lit(0.0), "group": F.col("factor")}), "messages")
+    kept, settled = ("c_id", "o_id", "answer"), shared_path(pairs.sparkSession, "settled")
+    for n in range(1, ROUNDS + 1):
+        share = max(LEAST_SHARE, (1 - DAMPING) / 2 ** ((n - 1) // STRETCH))
+        belief = state.groupBy("c_id", "o_id").agg(F.sum("answer").alias("all"), F.min("group").alias("low"), F.max("group").alias("high"))
         asked = state.join(belief, ["c_id", "o_id"]).withColumn("ask", F.exp(F.least(F.greatest(F.col("odds") + F.col("all") - F.col("answer"), F.lit(-30.0)), F.lit(30.0))))
-        summed = asked.groupBy("factor").agg(F.sum("ask").alias("sum"))
+        summed = asked.groupBy("factor").agg(F.sum("ask").alias("sum"), F.min("low").alias("least"), F.max("high").alias("most"))
         fresh = -F.log1p(F.greatest(F.col("sum") - F.col("ask"), F.lit(0.0)))
-        moved = asked.join(summed, "factor").withColumn("next", F.lit(DAMPING) * F.col("answer") + F.lit(1 - DAMPING) * fresh)
-        after = materialise(moved.select("factor", "c_id", "o_id", "odds", F.col("next").alias("answer"), F.abs(F.col("next") - F.col("answer")).alias("change")), "messages")
+        moved = asked.join(summed, "factor").withColumn("by", fresh - F.col("answer"))
+        after = moved.select("factor", "c_id", "o_id", "odds", (F.col("answer") + F.lit(share) * F.col("by")).alias("answer"), F.col("least").alias("group"), F.col("group").alias("was"), F.abs("by").alias("change"), (F.col("least") < F.col("most")).alias("open"))
+        after = materialise(after, "messages")
         discard(state)
-        state = after.drop("change")
+        state = after
         change = after.agg(F.max("change")).first()[0]
         if change is None or change < SETTLED:
             break
+        if n % STRETCH == 0:
+            still = after.groupBy("was").agg(F.max("change").alias("most"), F.max("open").alias("any")).withColumn("still", F.col("any") | (F.col("most") >= SETTLED)).select("was", "still")
+            after = materialise(after.join(still, "was"), "messages")
+            discard(state)
+            after.where(~F.col("still")).select(*kept).write.mode("append").parquet(settled)
+            state = materialise(after.where("still").drop("still"), "messages")
+            discard(after)
+    else:
+        raise RuntimeError(f"belief propagation: messages of {state.select('c_id', 'o_id').distinct().count()} pairs have not settled after {ROUNDS} rounds")
+    state.select(*kept).write.mode("append").parquet(settled)
+    state = pairs.sparkSession.read.schema(state.select(*kept).schema).parquet(settled)
     belief = state.groupBy("c_id", "o_id").agg(F.sum("answer").alias("all"))
     total = F.col("odds") + F.coalesce("all", F.lit(0.0))
     return pairs.join(belief, ["c_id", "o_id"], "left").withColumn("confidence", 1 / (1 + F.exp(-total))).drop("all", "odds", "c_parts", "o_parts")
