@@ -1,6 +1,7 @@
 """Vectors for names, geometry, projections, maps and scores."""
 
 import math
+import os
 import random
 
 import pytest
@@ -186,3 +187,13 @@ def test_distances_are_symmetric(spark):
     a = [(rng.random() * 360, rng.random() * 360) for _ in range(50)]
     df = spark.createDataFrame(a, "a double, b double").select(geom.compass_bearing_delta(F.col("a"), F.col("b")).alias("x"), geom.compass_bearing_delta(F.col("b"), F.col("a")).alias("y"))
     assert all(r.x == r.y and 0 <= r.x <= 180 for r in df.collect())
+
+
+def test_word_substitutions_of_the_reference(spark):
+    """Every entry of the reference's table, kept apart from the package's dictionary, alone and inside a name."""
+    path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data", "word_substitutions.txt")
+    with open(path, encoding="utf-8") as f:
+        want = dict(line.split() for line in f)
+    df = spark.createDataFrame(list(want), "string").select("value", names.canonical(F.col("value")).alias("alone"), names.canonical(F.concat(F.lit("Old "), F.lower("value"), F.lit(" 7"))).alias("within"))
+    assert len(want) == 372
+    assert {r.value: (r.alone, r.within) for r in df.collect()} == {k: (v, f"OLD {v} 7") for k, v in want.items()}

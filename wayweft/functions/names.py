@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from wayweft.functions.binding import let
 
 #: Words and their canonical abbreviations (directions, titles, postal street types).
-#: Variant spellings of street types are the caller's to add, see CanonConfig.with_words().
 WORDS = {
     "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW",
     "JUNIOR": "JR", "SAINT": "ST",
@@ -46,6 +45,26 @@ WORDS = {
     "VISTA": "VIS", "WALKS": "WALK", "WELL": "WL", "WELLS": "WLS",
 }
 
+#: Variant spellings of street types, by the abbreviation they stand for.
+VARIANTS = {
+    "ALY": "ALLEE ALLY", "ANX": "ANEX ANNX", "AVE": "AVEN AVENU AVN AVNUE", "BYU": "BAYOO", "BLF": "BLUF", "BTM": "BOT BOTTM",
+    "BLVD": "BOUL BOULV", "BRG": "BRDGE", "BR": "BRNCH", "BYP": "BYPA BYPAS BYPS", "CYN": "CANYN CNYN", "CSWY": "CAUSWAY",
+    "CTR": "CEN CENT CENTR CENTRE CNTER CNTR", "CIR": "CIRC CIRCL CRCL CRCLE", "CRK": "CK CR", "CP": "CMP",
+    "CRES": "CRECENT CRESENT CRSCNT CRSENT CRSNT", "XING": "CRSSING CRSSNG", "CT": "CRT", "DV": "DIV DVD", "DR": "DRIV DRV",
+    "EXPY": "EXP EXPR EXPRESS EXPW", "EXT": "EXTN EXTNSN", "FRST": "FORESTS", "FRG": "FORG", "FWY": "FREEWY FRWAY FRWY", "FRY": "FRRY",
+    "FT": "FRT", "GDN": "GARDN GRDEN GRDN", "GTWY": "GATEWY GATWAY GTWAY", "GDNS": "GRDNS", "GRV": "GROV", "HBR": "HARB HARBR HRBOR",
+    "HVN": "HAVN", "HTS": "HEIGHT HGTS HT", "HWY": "HIGHWY HIWAY HIWY HWAY", "HOLW": "HLLW HOLLOWS HOLWS", "IS": "ISLND", "ISS": "ISLNDS",
+    "JCT": "JCTION JCTN JUNCTN JUNCTON", "JCTS": "JCTNS", "KNL": "KNOL", "LN": "LA LANES", "LDG": "LDGE LODG", "LNDG": "LNDNG",
+    "MDWS": "MEDOWS", "MSN": "MISSN MSSN", "MT": "MNT", "MTN": "MNTAIN MNTN MOUNTIN MTIN", "MTNS": "MNTNS", "ORCH": "ORCHRD", "OVAL": "OVL",
+    "PKWY": "PARKWY PKWAY PKWYS PKY", "PARK": "PK PRK", "PLNS": "PLAINES", "PLZ": "PLZA", "PR": "PRARIE PRR", "RADL": "RAD RADIEL",
+    "RNCH": "RANCHES RNCHS", "RDG": "RDGE", "RIV": "RIVR RVR", "SHR": "SHOAR", "SHRS": "SHOARS", "SPG": "SPNG SPRNG", "SPGS": "SPNGS SPRNGS",
+    "SQ": "SQR SQRE SQU", "SQS": "SQRS", "STA": "STATN STN", "ST": "STR STRT", "STRA": "STRAV STRAVE STRAVEN STRAVN STRVN STRVNUE",
+    "STRM": "STREME", "SMT": "SUMIT SUMITT", "TER": "TERR", "TPKE": "TPK TRNPK TRPK TURNPK", "TRL": "TR TRAILS TRLS", "TRCE": "TRACES",
+    "TRAK": "TRACKS TRK TRKS", "TUNL": "TUNEL TUNLS TUNNELS TUNNL", "VLY": "VALLY VLLY", "VIA": "VDCT VIADCT",
+    "VLG": "VILL VILLAG VILLG VILLIAGE", "VIS": "VIST VST VSTA", "WAY": "WY",
+}
+WORDS |= {word: short for short, words in VARIANTS.items() for word in words.split()}
+
 #: Rewrites applied once each in this order; each acts on the last place where it fits.
 REWRITES = (
     (r"^(.*\bI)(\d.*)$", "$1 $2"),
@@ -71,7 +90,7 @@ class CanonConfig:
     rewrites: Sequence[tuple[str, str]] = REWRITES
 
     def with_words(self, more: Mapping[str, str]) -> "CanonConfig":
-        """With further word substitutions, e.g. variant spellings from a file; they win over the built-in ones."""
+        """With further word substitutions, e.g. those of another country from a file; they win over the built-in ones."""
         return CanonConfig(self.allowed, self.ignored, {**self.words, **more}, self.rewrites)
 
 
