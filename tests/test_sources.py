@@ -241,3 +241,35 @@ def test_files_and_settings(tmp_path):
     (tmp_path / "config.wayweft.json").write_text('{"b": 2}')
     assert fetch.read_settings(folders=[str(tmp_path)]) == {"postgis_enabled": False, "spatialite_enabled": False, "a": 1, "b": 2}
     assert fetch.listing({"b": 1, "a": 2}) == "\n    a: 2\n    b: 1"
+
+
+def test_json_answers_of_every_encoding(spark):
+    way = {"type": "way", "id": 7, "nodes": [1, {"ref": 2, "seq": 10}, None, 3], "tags": [{"k": "name", "v": "A"}, {"k": "name", "v": "B"}, {"k": "oneway", "v": True}]}
+    node = {"type": "node", "id": 1, "lon": -170.5, "lat": 43.5, "tags": {"addr": {"city": "X", "no": 5}, "lit": None}}
+    once = json.dumps({"elements": [node, way, {"type": "group", "id": 9, "elements": [node]}, 5]})
+    texts = [once, json.dumps(once), json.dumps(json.dumps(once)), once[:-1], "[]", "null", None, json.dumps({"osm": {"elements": [node]}})]
+    data = osm_files.from_json_answers(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert [(r.way_id, r.node_ids, r.tags) for r in data.ways.collect()] == [(7, [1, 2, 3], {"name": "B", "oneway": "true"})] * 3
+    assert [(r.node_id, r.pt.x, r.pt.y, r.tags) for r in data.nodes.collect()] == [(1, -170.5, 43.5, {"addr:city": "X", "addr:no": "5"})] * 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_json_elements_of_a_whole_table(spark):
+    """Brute force with the json module over every payload: ids, places and refs of nodes and ways."""
+    from wayweft.plans.reference_queries import QUERIES
+
+    want = set()
+    for (text,) in spark.read.parquet("/root/testdata/sf0.001/osm_raw.parquet").select("payload").collect():
+        try:
+            answer = json.loads(text or "null")
+            while isinstance(answer, str):
+                answer = json.loads(answer)
+        except ValueError:
+            continue
+        for e in answer.get("elements") or [] if isinstance(answer, dict) else []:
+            refs = [int(n["ref"] if isinstance(n, dict) else n) for n in e.get("nodes") or [] if n is not None] if e["type"] == "way" else []
+            if e["type"] in ("node", "way"):
+                want.add((e["type"], e["id"], e.get("lon"), e.get("lat"), tuple(refs), bool(e.get("tags"))))
+    rows = QUERIES["ref_s6_osm_json_elements"](spark, "/root/testdata/sf0.001").collect()
+    assert want and {w[:5] for w in want} == {(r.type, r.id, r.lon, r.lat, tuple(r.node_ids)) for r in rows}
+    assert any(r.tags for r in rows if r.type == "way") and any(r.tags for r in rows if r.type == "node")

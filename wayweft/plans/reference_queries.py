@@ -678,11 +678,20 @@ def y1(spark, d):
 WITH p AS (SELECT raw_id, payload::JSON AS j FROM osm_raw WHERE json_valid(payload) AND left(ltrim(payload), 1) = '{'), e AS (SELECT raw_id, unnest((j->'elements')::JSON[]) AS e FROM p WHERE json_type(j, '$.elements') = 'ARRAY')
 SELECT DISTINCT (e->>'id')::BIGINT AS node_id, round((e->>'lon')::DOUBLE, 6) AS lon, round((e->>'lat')::DOUBLE, 6) AS lat FROM e WHERE e->>'type' = 'node'""")
 def s6(spark, d):
-    """Nodes of the answers that are plain documents."""
+    """Nodes of the answers that are plain documents, as far as SQL follows; ref_s6_osm_json_elements has all."""
     whole = table(spark, d, "osm_raw").where(F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{"))
-    read = F.try_variant_get(F.try_parse_json("payload"), "$.elements", "array<variant>")
-    e = whole.select(F.explode(read).alias("e")).where(F.try_variant_get("e", "$.type", "string") == "node")
-    return e.select(F.try_variant_get("e", "$.id", "bigint").alias("node_id"), F.round(F.try_variant_get("e", "$.lon", "double"), 6).alias("lon"), F.round(F.try_variant_get("e", "$.lat", "double"), 6).alias("lat")).distinct()
+    nodes = osm_files.from_json_answers(whole, "payload").nodes
+    return nodes.select("node_id", F.round("pt.x", 6).alias("lon"), F.round("pt.y", 6).alias("lat")).distinct()
+
+
+@query("ref_s6_osm_json_elements")
+def s6_elements(spark, d):
+    """Nodes and ways of all answers, with refs and tags, however often an answer is encoded."""
+    data = osm_files.from_json_answers(table(spark, d, "osm_raw"), "payload")
+    tags = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("tags")
+    nodes = data.nodes.select(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("pt.x").alias("lon"), F.col("pt.y").alias("lat"), F.array().cast("array<bigint>").alias("node_ids"), tags)
+    ways = data.ways.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), "node_ids", tags)
+    return nodes.unionByName(ways).distinct()
 
 
 # Round trips through files, in the shared folder
