@@ -148,6 +148,22 @@ def test_mix_of_sources(spark):
     assert mixing.mix_sources(sized, targets.limit(0)).records.count() == 0
 
 
+def test_water_fill_with_the_least_weights():
+    assert mixing.water_fill({"a": 5e-324}, {"a": 1}, {"a": 2}, 1.5)["a"].planned == 1.5
+    plan = mixing.water_fill({"a": 5e-324, "b": 1e-323}, {"a": 9, "b": 9}, {"a": 9, "b": 9}, 3.0)
+    assert (plan["a"].planned, plan["b"].planned) == pytest.approx((1.0, 2.0))
+
+
+@pytest.mark.parametrize("total", [30, 4, 1000, 2699])
+def test_mix_of_equal_records(spark, monkeypatch, total):
+    """One record is the whole source: as many of its repetitions are taken as the total holds."""
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    sized = spark.createDataFrame([(None, "a", 3)] * 900 if total > 900 else [(7, "a", 3)] * 900, "id long, source string, n_tokens long")
+    mix = mixing.mix_sources(sized, spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeat int"), total=total)
+    want = min(900, round(total / 3))
+    assert mix.records.count() == want and mix.shares.first().mixed_tokens == 3 * want and mix.shares.first().actual_share == 1
+
+
 # Repetition
 
 

@@ -17,6 +17,8 @@ from wayweft.runtime import materialise
 
 #: Hash buckets in which the fraction's boundary is searched; only one bucket per source is ever sorted by record.
 BUCKETS = 65_536
+#: Equal records that one row stands for while they are written out.
+BLOCK = 100_000
 
 
 @dataclass(frozen=True)
@@ -41,10 +43,13 @@ def water_fill(weights: dict[str, float], sizes: dict[str, int], repeats: dict[s
     left = float(sum(sizes[s] for s in free) if total is None else total)
     planned: dict[str, float] = {}
     while free:
-        whole = sum(free.values())
-        over = {s for s, w in free.items() if left * w / whole > repeats[s] * sizes[s]}
+        largest = max(free.values())  # weights may be so small that their sum or product loses digits
+        scaled = {s: w / largest for s, w in free.items()}
+        whole = sum(scaled.values())
+        wanted = {s: left * (w / whole) for s, w in scaled.items()}
+        over = {s for s, n in wanted.items() if n > repeats[s] * sizes[s]}
         if not over:
-            planned |= {s: left * w / whole for s, w in free.items()}
+            planned |= wanted
             break
         for s in sorted(over):
             planned[s] = float(repeats[s] * sizes[s])
@@ -90,20 +95,23 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: float | None = None
     at = placed.join(F.broadcast(edge), "source", "left")  # one row for each target
     full = at.where("bucket < edge OR edge IS NULL").select("id", "source", "n_tokens", (F.col("whole") + F.when(F.col("edge").isNotNull(), 1).otherwise(F.when(F.col("rest") > 0, 1).otherwise(0))).alias("copies"))
     none = at.where("bucket > edge").select("id", "source", "n_tokens", F.col("whole").alias("copies"))
+    # Equal records are one row with a count until the boundary is found, so a record that fills its source is no task's list.
     first = Window.partitionBy("source").orderBy("h", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = at.where("bucket = edge").withColumn("upto", F.sum("n_tokens").over(first))
-    part = cut.select("id", "source", "n_tokens", (F.col("whole") + F.when(F.col("upto") - F.col("n_tokens") / 2 < F.col("room"), 1).otherwise(0)).alias("copies"))
+    cut = at.where("bucket = edge").groupBy("source", "whole", "room", "h", "id", "n_tokens").agg(F.count("*").alias("m"))
+    cut = cut.withColumn("before", F.sum(F.col("n_tokens") * F.col("m")).over(first) - F.col("n_tokens") * F.col("m"))
+    cut = cut.withColumn("taken", F.least(F.col("m"), F.greatest(F.lit(0), F.ceil((F.col("room") - F.col("before")) / F.col("n_tokens") + 0.5) - 1)))
+    blocks = cut.withColumn("from", F.explode(F.sequence(F.lit(1), "m", F.lit(BLOCK)))).repartition("source", "id", "from")
+    each = blocks.withColumn("i", F.explode(F.sequence("from", F.least(F.col("m"), F.col("from") + BLOCK - 1))))
+    part = each.select("id", "source", "n_tokens", (F.col("whole") + F.when(F.col("i") <= F.col("taken"), 1).otherwise(0)).alias("copies"))
     chosen = full.unionByName(none).unionByName(part).where("copies > 0")
     records = chosen.select("id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
     mixed = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
-    used = mixed.agg(F.sum("mixed_tokens").alias("all_tokens")).withColumn("_one", F.lit(1))
+    used = mixed.agg(F.sum("mixed_tokens").cast("double")).scalar()
     shares = (
         stock.join(plans, stock["source"].eqNullSafe(planned["source"]), "full_outer")
         .select(F.coalesce(stock["source"], planned["source"]).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), "max_repeat", F.coalesce("epochs", F.lit(0.0)).alias("epochs"), F.coalesce("planned_tokens", F.lit(0.0)).alias("planned_tokens"))
         .join(mixed, "source", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(used), "_one")  # one row
-        .select("source", "target_share", "available_tokens", "max_repeat", "epochs", "planned_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+        .select("source", "target_share", "available_tokens", "max_repeat", "epochs", "planned_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.col("mixed_tokens") / used, F.lit(0.0)).alias("actual_share"))
     )
     return Mix(records, shares)
