@@ -171,10 +171,54 @@ def test_identical_objects_are_stored_once(spark):
     e = {"type": "node", "id": 1, "tags": {"a": "b"}}
     rows = [(i, json.dumps({"elements": [e, {"type": "group", "id": 5, "elements": [e, e]}]})) for i in range(40)]
     t = nested.flatten_elements(spark.createDataFrame(rows, "raw_id long, payload string"), "raw_id", "payload")
-    assert (t.occurrences.count(), t.objects.count(), t.tags.count(), t.members.count()) == (160, 2, 1, 2)
+    assert t.occurrences.where("elem_type IS NOT NULL").count() == 160 and t.objects.where("elem_type IS NOT NULL").count() == 2
+    assert (t.occurrences.count(), t.objects.count(), t.tags.count(), t.members.count()) == (200, 3, 1, 4)  # with the documents around them
     top = t.occurrences.where("raw_id = 3").orderBy("occ").collect()
-    assert [(r.parent_occ, r.ordinal) for r in top] == [(None, 0), (None, 1), (1, 0), (1, 1)]
-    assert len({r.object for r in top}) == 2
+    assert [(r.parent_occ, r.field, r.ordinal) for r in top] == [(None, "", 0), (0, "elements", 0), (0, "elements", 1), (2, "elements", 0), (2, "elements", 1)]
+    assert len({r.object for r in top}) == 3
+
+
+def identity(o):
+    return nested.objects_of(nested.parse_payload(json.dumps(o)))[0].hash
+
+
+def test_identity_covers_the_whole_subtree_and_no_form():
+    way = {"type": "way", "id": 1, "nodes": [4, 5], "tags": {"b": "2", "a": ["1", "x"]}, "parts": [{"type": "node", "id": 4, "lat": 1.5}], "meta": {"user": {"uid": 3}}, "version": 3}
+    same = [
+        {**way, "tags": {"a": ["x", "1"], "b": "2"}}, {**way, "tags": [{"k": "a", "v": "x"}, {"k": "b", "v": 2}, {"k": "a", "v": "1"}, {"k": "a", "v": "1"}, {"k": "n", "v": None}]},
+        {**way, "nodes": [{"ref": "4", "seq": 0}, {"ref": 5}]}, dict(reversed(way.items())), {**way, "id": "1"},
+    ]
+    other = [
+        {**way, "version": 4}, {**way, "version": "3"}, {**way, "version": None}, {k: v for k, v in way.items() if k != "version"}, {**way, "nodes": [5, 4]}, {**way, "tags": {}}, {**way, "meta": {"user": {"uid": 4}}},
+        {**way, "parts": [{"type": "node", "id": 4, "lat": 2.5}]}, {**way, "parts": []}, {**way, "parts": [[{"type": "node", "id": 4, "lat": 1.5}]]}, {**way, "id": 2}, {**way, "type": "node"}, {**way, "bounds": [[1, 2], [3]]}, {**way, "bounds": [1, 2, 3]},
+    ]
+    assert {identity(o) for o in same} == {identity(way)}
+    assert len({identity(o) for o in other} | {identity(way)}) == len(other) + 1
+
+
+def test_tables_hold_every_object_once(spark):
+    node = {"type": "node", "id": 1, "lat": 2.50, "tags": {"b": "1", "a": "2"}, "meta": {"user": {"uid": 7, "tags": {"x": "y"}}, "elements": [{"type": "node", "id": 9}]}}
+    twin = {**node, "tags": {"a": "2", "b": "1"}}
+    t = nested.flatten_elements(spark.createDataFrame([(1, json.dumps({"v": [1, [2, None], []], "elements": [node]})), (2, json.dumps([twin, node]))], "raw_id long, payload string"), "raw_id", "payload")
+    assert sorted((r.key, r.value) for r in t.tags.collect()) == [("a", "2"), ("b", "1")]
+    assert [(r.elem_type, r.elem_id) for r in t.objects.where("elem_type IS NOT NULL").collect()] == [("node", 1)]
+    assert t.objects.count() == 6 and t.occurrences.where("elem_type IS NOT NULL").count() == 3  # the document, the node, its meta, user, tags of the user, element in meta
+    fields = {(r.field, r.ordinal, r.value, r.value_type) for r in t.fields.collect()}
+    assert {("lat", 0, "2.5", "number"), ("uid", 0, "7", "number"), ("x", 0, "y", "string"), ("v", 0, "1", "number"), ("v[1]", 0, "2", "number"), ("v[1]", 1, None, "null"), ("v[2]", 2, None, "empty array"), ("type", 0, "node", "string")} <= fields
+    held = {r.object for r in t.objects.collect()}
+    assert held == {r.object for r in t.occurrences.collect()} and {r.member for r in t.members.collect()} <= held
+    assert [(r.elem_id, r.n_occurrences, r.n_payloads) for r in nested.identities(t).collect()] == [(1, 3, 2)]
+
+
+def test_payload_encoded_many_times():
+    text = json.dumps({"type": "node", "id": 1})
+    for _ in range(16):
+        text = json.dumps(text)
+    assert nested.elements_of(nested.parse_payload(text))[0].id == 1
+    bare = "1"
+    for _ in range(3):
+        bare = json.dumps(bare)
+    assert nested.parse_payload(bare) == "1"
 
 
 def test_very_deep_payload():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayweft.operators import nested, orphans, packed, proximity, snapshots
-from wayweft.runtime import materialise, table
+from wayweft.runtime import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,13 +28,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_identities(spark: SparkSession, d: str) -> DataFrame:
-    """How often every distinct element occurs: elem_type, elem_id, object, n_occurrences, n_payloads."""
-    from pyspark.sql import functions as F
+    """How often every distinct element occurs."""
+    return nested.identities(nested.flatten_elements(table(spark, d, "osm_raw"), "raw_id", "payload"))
 
-    t = nested.flatten_elements(table(spark, d, "osm_raw"), "raw_id", "payload")
-    seen = t.occurrences.groupBy("object", "raw_id").agg(F.count("*").alias("n"))
-    seen = seen.groupBy("object").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_payloads"))
-    return seen.join(t.objects, "object").select("elem_type", "elem_id", "object", "n_occurrences", "n_payloads")
+
+def p3_elements(spark: SparkSession, d: str) -> DataFrame:
+    """How often every element occurs, in whatever state: elem_type, elem_id, n_occurrences, n_payloads."""
+    return nested.element_counts(nested.flatten_elements(table(spark, d, "osm_raw"), "raw_id", "payload"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_identities, p4_found, p5_found, p5_report)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_identities, p3_elements, p4_found, p5_found, p5_report)
 }
 
 _P5 = """
@@ -71,6 +71,26 @@ found AS (SELECT DISTINCT r.ref_table, strftime(r.m, '%Y-%m') AS period, r.ref_i
   FROM refs r JOIN keys k ON r.node_id = k.node_id AND r.m = k.m LEFT JOIN live l ON l.node_id = r.node_id AND l.m = r.m WHERE l.ok IS NULL OR NOT l.ok)
 """
 
+_P3_TREE = r"""
+WITH RECURSIVE plain AS (
+  SELECT raw_id, payload::JSON AS j FROM osm_raw WHERE json_valid(payload)
+  UNION ALL SELECT raw_id, (j->>'$')::JSON FROM plain WHERE json_type(j) = 'VARCHAR' AND json_valid(j->>'$')),
+tree AS (SELECT raw_id, t.value AS v FROM plain, json_tree(plain.j) t WHERE json_type(plain.j) IN ('OBJECT', 'ARRAY') AND t.type = 'OBJECT' AND NOT regexp_matches(t.fullkey, '\.(meta|tags|nodes)($|[.\[])')),"""
+_P3 = _P3_TREE + r"""
+e AS (SELECT DISTINCT raw_id, v->>'type' AS parent_type, try_cast(v->>'id' AS BIGINT) AS parent_id, v FROM tree WHERE v->>'type' IN ('node', 'way', 'group') AND try_cast(v->>'id' AS BIGINT) IS NOT NULL),
+item AS (SELECT raw_id, parent_type, parent_id, x.value AS i FROM e, json_each(e.v->'tags') x WHERE json_type(e.v->'tags') = 'ARRAY' AND x.type = 'OBJECT'),
+walk AS (
+  SELECT raw_id, parent_type, parent_id, x.key AS key, x.value AS value FROM e, json_each(e.v->'tags') x WHERE json_type(e.v->'tags') = 'OBJECT'
+  UNION ALL SELECT raw_id, parent_type, parent_id, i->>'k', i->'v' FROM item WHERE json_exists(i, '$.k')
+  UNION ALL SELECT raw_id, parent_type, parent_id, x.key, x.value FROM item, json_each(item.i) x WHERE NOT json_exists(i, '$.k')
+  UNION ALL SELECT raw_id, parent_type, parent_id, CASE WHEN json_type(w.value) = 'OBJECT' THEN w.key || ':' || x.key ELSE w.key END, x.value FROM walk w, json_each(w.value) x WHERE json_type(w.value) IN ('OBJECT', 'ARRAY'))
+SELECT DISTINCT raw_id, parent_type, parent_id, 'tag' AS child, key AS child_key, value->>'$' AS child_value FROM walk WHERE key IS NOT NULL AND json_type(value) NOT IN ('OBJECT', 'ARRAY', 'NULL')
+UNION SELECT raw_id, parent_type, parent_id, 'node', x.key, try_cast(CASE WHEN x.type = 'OBJECT' THEN x.value->>'ref' ELSE x.value->>'$' END AS BIGINT)::VARCHAR FROM e, json_each(e.v->'nodes') x
+  WHERE json_type(e.v->'nodes') = 'ARRAY' AND try_cast(CASE WHEN x.type = 'OBJECT' THEN x.value->>'ref' ELSE x.value->>'$' END AS BIGINT) IS NOT NULL
+UNION SELECT raw_id, parent_type, parent_id, 'element', c->>'type', try_cast(c->>'id' AS BIGINT)::VARCHAR FROM (
+  SELECT e.*, x.value AS c FROM e, json_each(e.v->'elements') x WHERE parent_type = 'group' AND json_type(e.v->'elements') = 'ARRAY' UNION ALL SELECT e.*, v->'elements' FROM e WHERE parent_type = 'group' AND json_type(e.v->'elements') = 'OBJECT')
+  WHERE json_type(c) = 'OBJECT' AND c->>'type' IN ('node', 'way', 'group') AND try_cast(c->>'id' AS BIGINT) IS NOT NULL"""
+
 _BLANK = r"[ \t\n\r\f\v]"
 _PIECE = r'("(?:[^"]|"")*"|“[^”]*”|[0-9](?:/[0-9])+|[^;,|&/\t\n\r%s])+'
 _P4 = f"""
@@ -106,6 +126,10 @@ p AS (SELECT DISTINCT jct_id, point.x AS x, point.y AS y FROM jcts WHERE point I
 sides AS (SELECT region_id, jct_id, x, y, count(*) AS n FROM (SELECT region_id, e[1].x AS x0, e[1].y AS y0, e[2].x AS x1, e[2].y AS y1 FROM edges) e
   JOIN p ON (y0 > y) <> (y1 > y) WHERE x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY ALL)
 SELECT 'near' AS kind, a_id, b_id FROM near UNION ALL SELECT DISTINCT 'in', region_id, jct_id FROM sides WHERE n % 2 = 1""",
+    "p3_found": _P3,
+    "p3_elements": _P3_TREE + """
+x AS (SELECT raw_id, v->>'type' AS elem_type, try_cast(v->>'id' AS BIGINT) AS elem_id FROM tree)
+SELECT elem_type, elem_id, count(*) AS n_occurrences, count(DISTINCT raw_id) AS n_payloads FROM x WHERE elem_type IN ('node', 'way', 'group') AND elem_id IS NOT NULL GROUP BY 1, 2""",
     "p4_found": _P4,
     "p5_found": _P5 + "SELECT * FROM found",
     "p5_report": _P5 + "SELECT ref_table, period, count(*) AS n_refs, count(DISTINCT node_id) AS n_keys FROM found GROUP BY 1, 2",
