@@ -261,6 +261,44 @@ def test_split_values(text, ramp, want):
 def test_escapes_and_nesting():
     d = packed.Dialect(escape="\\", brackets={"(": ")", "[": "]"})
     assert packed.split_values(r"A\;B;C(D;[E,F];G),H(I", d) == ["A;B", "C(D;[E,F];G)", "H(I"]
+    assert packed.split_values('A("x);";B);C', d) == ['A("x);";B)', "C"]  # a bracket in quotes closes nothing
+    assert packed.split_values('A("B);C";D', d) == ['A("B);C"', "D"]
+    assert packed.split_values('"A\\";B";C\\;D;E\\', d) == ['A";B', "C;D", "E\\"]
+    assert len(packed.split_values("(;" * 50_000 + ")", d)) == 50_000
+
+
+def plain_split(text, d, extra):
+    """The automaton, one character at a time, without brackets."""
+    out, start, i, n = [], 0, 0, len(text)
+    dead = set()
+    while i <= n:
+        c = text[i] if i < n else None
+        if c is None or ((c in d.separators or extra and c in d.extra) and not (c == "/" and 0 < i < n - 1 and text[i - 1].isdigit() and text[i + 1].isdigit())):
+            out.append(text[start:i])
+            start = i + 1
+        elif c in d.quotes and d.quotes[c] not in dead:
+            j = i + 1
+            while j < n and (text[j] != d.quotes[c] or text[j + 1 : j + 2] == d.quotes[c]):
+                j += 2 if text[j] == d.quotes[c] else 1
+            if j < n:
+                i = j
+            else:
+                dead.add(d.quotes[c])
+        elif c.isspace():
+            j = i
+            while j < n and text[j].isspace():
+                j += 1
+            if j - i > 1:
+                out.append(text[start:i])
+                start, i = j, j - 1
+        i += 1
+    return [v for p in out if (v := packed.Tokenizer(d).value(p))]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("AB1;,/\"“”- \t", max_size=30), st.booleans())
+def test_tokens_equal_the_plain_automaton(text, extra):
+    assert packed.split_values(text, D, extra) == plain_split(text, D, extra)
 
 
 @settings(max_examples=200, deadline=None)
@@ -278,6 +316,15 @@ def test_street_names(spark):
     assert sorted(tuple(r) for r in packed.explode_packed(df.where("objectid in (3, 5)"), ["objectid"], "streetname").collect()) == [(3, 1, "A-B"), (5, 1, "A")]
 
 
+def test_keys_stay_exact_beside_nulls(spark):
+    """A key beyond 2^53 next to a null key, and keys of other kinds."""
+    rows = [(2**60 + 1, date(2023, 1, 1), [1, None], "A;B"), (None, None, None, "C;D")]
+    df = spark.createDataFrame(rows, "id long, day date, list array<long>, text string")
+    got = packed.explode_packed(df, ["id", "day", "list"], "text")
+    assert got.dtypes == [("id", "bigint"), ("day", "date"), ("list", "array<bigint>"), ("pos", "bigint"), ("value", "string")]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(2**60 + 1, date(2023, 1, 1), [1, None], 1, "A"), (2**60 + 1, date(2023, 1, 1), [1, None], 2, "B"), (None, None, None, 1, "C"), (None, None, None, 2, "D")], key=str)
+
+
 def test_very_long_packed_text():
     assert len(packed.split_values(";".join(["A"] * 200_000), D)) == 200_000
     assert len(packed.split_values('"' + "A;" * 100_000, D)) == 100_001 - 1

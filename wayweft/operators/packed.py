@@ -10,13 +10,16 @@ import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayweft.runtime import ship
 
+#: Values that one result batch holds before it is handed on.
+FLUSH = 200_000
 #: Opening and closing double quotes of every style.
 DOUBLE_QUOTES = {'"': '"', "“": "”", "„": "”", "‟": "”", "«": "»", "＂": "＂"}
 
@@ -43,82 +46,107 @@ class Dialect:
         return "".join(sorted(self.separators | self.extra | set(self.quotes) | set(self.quotes.values()) | set(self.brackets) | ({self.escape} if self.escape else set())))
 
 
-def _closing(text: str, at: int, close: str, escape: str) -> int:
-    """Where the quote opened before `at` closes, a doubled closing quote being literal; -1 if it doesn't."""
-    n = len(text)
-    while at < n:
-        c = text[at]
-        if escape and c == escape:
-            at += 2
-        elif c == close:
-            if at + 1 < n and text[at + 1] == close:
-                at += 2
+class Tokenizer:
+    """The automaton of a dialect. It jumps from mark to mark; what lies between marks is never looked at singly."""
+
+    def __init__(self, dialect: Dialect):
+        d = self.dialect = dialect
+        protect = set(d.quotes) | set(d.brackets) | set(d.brackets.values()) | ({d.escape} if d.escape else set())
+        blanks = r"|\s{" + str(d.blank_run) + ",}" if d.blank_run else ""
+        one = lambda chars: "[" + re.escape("".join(sorted(chars))) + "]"
+        self.marks = {extra: re.compile(one(protect | d.separators | (d.extra if extra else frozenset())) + blanks).search for extra in (False, True)}
+        self.plain = {extra: re.compile(one(d.separators | (d.extra if extra else frozenset())) + blanks) for extra in (False, True)}
+        self.protected = re.compile(one(protect)).search if protect else lambda text: None
+        self.closers = {c: re.compile(one({c} | ({d.escape} if d.escape else set()))).search for c in set(d.quotes.values())}
+
+    def closing(self, text: str, at: int, close: str) -> int:
+        """Where the quote opened before `at` closes, a doubled closing quote being literal; -1 if it doesn't."""
+        find, escape = self.closers[close], self.dialect.escape
+        while m := find(text, at):
+            i = m.start()
+            if escape and text[i] == escape or text.startswith(close, i + 1):
+                at = i + 2
             else:
-                return at
-        else:
-            at += 1
-    return -1
+                return i
+        return -1
+
+    def value(self, raw: str) -> str:
+        """A piece trimmed, without enclosing quotes, doubled quotes made single, escapes resolved."""
+        d, raw = self.dialect, raw.strip()
+        if len(raw) > 1 and raw[0] in d.quotes:
+            close = d.quotes[raw[0]]
+            if self.closing(raw, 1, close) == len(raw) - 1:
+                raw = raw[1:-1].replace(close * 2, close).strip()
+        if d.escape and d.escape in raw:
+            raw = re.sub(re.escape(d.escape) + "(.)", r"\1", raw, flags=re.S)
+        return raw
+
+    def split(self, text: str | None, with_extra: bool = False) -> list[str]:
+        """The values of text in order; empty pieces are left out.
+
+        An opening quote that is never closed, a bracket that is never closed, an escape at the very end and a closing
+        bracket without an opening one are ordinary characters.
+        """
+        if not text:
+            return []
+        d, search, n = self.dialect, self.marks[with_extra], len(text)
+        pieces, start = [], 0
+        if not self.protected(text):  # nothing protects: the state never changes
+            for m in self.plain[with_extra].finditer(text):
+                if not self._fraction(text, m.start()):
+                    pieces.append(text[start : m.start()])
+                    start = m.end()
+            pieces.append(text[start:])
+            return [v for p in pieces if (v := p.strip())]
+        ends = d.separators | d.extra if with_extra else d.separators
+        opens = self._matched(text) if any(c in text for c in d.brackets) else {}
+        stack: list[str] = []
+        for i, c, after in self._outside(text, search):
+            if stack and c == stack[-1]:
+                stack.pop()
+            elif i in opens:
+                stack.append(opens[i])
+            elif not stack and (c in ends or c.isspace()) and not self._fraction(text, i):
+                pieces.append(text[start:i])
+                start = after
+        pieces.append(text[start:n])
+        return [v for p in pieces if (v := self.value(p))]
+
+    def _outside(self, text: str, search) -> Iterator[tuple[int, str, int]]:
+        """Place, character and end of every mark that is neither quoted nor escaped."""
+        d, at = self.dialect, 0
+        unclosed: set[str] = set()
+        while m := search(text, at):
+            i, c, at = m.start(), text[m.start()], m.end()
+            if d.escape and c == d.escape:
+                at = i + 2
+            elif c in d.quotes and d.quotes[c] not in unclosed:
+                end = self.closing(text, i + 1, d.quotes[c])
+                if end >= 0:
+                    at = end + 1
+                else:
+                    unclosed.add(d.quotes[c])  # nor can a later one close
+            else:
+                yield i, c, at
 
+    def _matched(self, text: str) -> dict[int, str]:
+        """Places of the opening brackets that are closed, with what closes them."""
+        d, stack, out = self.dialect, [], {}
+        for i, c, _ in self._outside(text, self.protected):
+            if stack and c == d.brackets[text[stack[-1]]]:
+                out[stack[-1]] = c
+                stack.pop()
+            elif c in d.brackets:
+                stack.append(i)
+        return out
 
-def _value(raw: str, d: Dialect) -> str:
-    raw = raw.strip()
-    if len(raw) > 1 and raw[0] in d.quotes:
-        close = d.quotes[raw[0]]
-        if _closing(raw, 1, close, d.escape) == len(raw) - 1:
-            raw = raw[1:-1].replace(close * 2, close).strip()
-    if d.escape:
-        raw = re.sub(re.escape(d.escape) + "(.)", r"\1", raw, flags=re.S)
-    return raw
+    def _fraction(self, text: str, i: int) -> bool:
+        return text[i] == self.dialect.fraction and 0 < i < len(text) - 1 and text[i - 1].isdigit() and text[i + 1].isdigit()
 
 
 def split_values(text: str | None, dialect: Dialect, with_extra: bool = False) -> list[str]:
-    """The values of text in order, trimmed, without enclosing quotes; empty pieces are left out.
-
-    An opening quote that is never closed, and a bracket that is never closed, are ordinary characters.
-    """
-    if not text:
-        return []
-    d, n, i, start, out = dialect, len(text), 0, 0, []
-    ends = d.separators | d.extra if with_extra else d.separators
-    stack: list[str] = []
-    unclosed: set[str] = set()
-
-    def cut(end: int, after: int) -> None:
-        nonlocal start
-        if value := _value(text[start:end], d):
-            out.append(value)
-        start = after
-
-    while i < n:
-        c = text[i]
-        if d.escape and c == d.escape:
-            i += 2
-            continue
-        if c in d.quotes and d.quotes[c] not in unclosed:
-            end = _closing(text, i + 1, d.quotes[c], d.escape)
-            if end >= 0:
-                i = end + 1
-                continue
-            unclosed.add(d.quotes[c])  # nor can a later one close
-        elif stack and c == stack[-1]:
-            stack.pop()
-        elif c in d.brackets and text.find(d.brackets[c], i + 1) >= 0:
-            stack.append(d.brackets[c])
-        elif not stack:
-            if c in ends:
-                if not (c == d.fraction and 0 < i < n - 1 and text[i - 1].isdigit() and text[i + 1].isdigit()):
-                    cut(i, i + 1)
-            elif d.blank_run and c.isspace():
-                end = i
-                while end < n and text[end].isspace() and text[end] not in ends:
-                    end += 1
-                if end - i >= d.blank_run:
-                    cut(i, end)
-                i = end
-                continue
-        i += 1
-    cut(n, n)
-    return out
+    """The values of one text, see Tokenizer.split()."""
+    return Tokenizer(dialect).split(text, with_extra)
 
 
 def explode_packed(df: DataFrame, keys: list[str], packed: str, extra_if: Column | None = None, dialect: Dialect | None = None, at_least: int = 1) -> DataFrame:
@@ -137,16 +165,24 @@ def explode_packed(df: DataFrame, keys: list[str], packed: str, extra_if: Column
     mark = "[" + re.escape(d.marks()).replace("&", r"\&") + r"]" + (r"|(?U)\s{" + str(d.blank_run) + "}" if d.blank_run else "")
     rows = rows.where(F.length("_text") > 0)
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Tokenizer(d).split
         for b in batches:
-            found = [split_values(t, d, e) for t, e in zip(b["_text"], b["_extra"])]
-            keep = [i for i, v in enumerate(found) if len(v) >= at_least for _ in v]
-            part = b[own].iloc[keep].reset_index(drop=True)
-            part["pos"] = pd.Series([p for v in found if len(v) >= at_least for p in range(1, len(v) + 1)], dtype="int64")
-            part["value"] = pd.Series([x for v in found if len(v) >= at_least for x in v], dtype="object")
-            yield part
-
-    several = rows.where(F.col("_text").rlike(mark)).mapInPandas(tokens, out)
+            texts, extra = (b.column(len(own) + i).to_pylist() for i in range(2))
+            start, found, size = 0, [], 0
+            for i, (t, e) in enumerate(zip(texts, extra)):
+                values = split(t, e)
+                found.append(values if len(values) >= at_least else [])
+                size += len(found[-1])
+                if size < FLUSH and i + 1 < len(texts):
+                    continue
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                row = pa.array(np.repeat(np.arange(start, i + 1), counts))
+                pos = np.arange(size) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(len(own))], pa.array(pos), pa.array([v for f in found for v in f], pa.string())], names=out.names)
+                start, found, size = i + 1, [], 0
+
+    several = rows.where(F.col("_text").rlike(mark)).mapInArrow(tokens, out)
     if at_least <= 1:
         value = F.regexp_replace("_text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
         single = rows.where(~F.col("_text").rlike(mark)).select(*own, F.lit(1).cast("long").alias("pos"), value.alias("value")).where("value <> ''")
@@ -154,6 +190,10 @@ def explode_packed(df: DataFrame, keys: list[str], packed: str, extra_if: Column
     return several.select(*[F.col(o).alias(k) for o, k in zip(own, keys)], "pos", "value")
 
 
+#: Street names: quotes of every style, a backslash takes the next character literally, nothing separates in brackets.
+STREETS = Dialect(escape="\\", brackets={"(": ")", "[": "]", "{": "}"})
+
+
 def street_names(rlis: DataFrame) -> DataFrame:
     """rlis_streets: objectid, pos, value of every streetname that holds at least two names.
 
@@ -162,4 +202,4 @@ def street_names(rlis: DataFrame) -> DataFrame:
     """
     last = rlis.groupBy("objectid").agg(F.max(F.struct("loaded_at", "streetname", "ftype")).alias("m"))
     rows = last.select("objectid", "m.streetname", "m.ftype")
-    return explode_packed(rows, ["objectid"], "streetname", F.upper(F.trim("ftype")) == "RAMP", at_least=2)
+    return explode_packed(rows, ["objectid"], "streetname", F.upper(F.trim("ftype")) == "RAMP", STREETS, at_least=2)
