@@ -132,6 +132,48 @@ def test_points_in_regions_equal_even_odd(spark, monkeypatch):
     assert proximity.points_in_regions(points, regions.limit(0)).count() == 0
 
 
+def test_full_cells_are_cut_into_blocks(spark, monkeypatch):
+    """Many points at one place and close around it: no task has the whole cell, no portion is large, no pair is lost."""
+    monkeypatch.setattr(proximity, "FLUSH", 1_000)
+    rng = random.Random(8)
+    pts = [(7 * i, 10.0, 10.0) for i in range(400)] + [(10_000 + i, 10.0 + rng.gauss(0, 0.00003), 10.0 + rng.gauss(0, 0.00003)) for i in range(200)] + [(20_000, -10.0, -10.0)]
+    df = spark.createDataFrame(pts, "id long, lon double, lat double")
+    got = [tuple(r) for r in proximity.near_pairs(df, 10.0, cell_points=10, max_pivots=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(pts, 10.0) and len(got) > 100_000
+
+
+def test_one_place_of_many_points_streams(spark):
+    """4,000 ids at one place are 7,998,000 pairs; blocks bound what a task holds, portions what it hands on."""
+    df = spark.range(4_000).select("id", F.lit(1.0).alias("lon"), F.lit(1.0).alias("lat"))
+    got = proximity.near_pairs(df, 10.0, cell_points=100).agg(F.count("*").alias("n"), F.sum(F.col("b_id") - F.col("a_id")).alias("s")).first()
+    assert got.n == 4_000 * 3_999 // 2 and got.s == sum(d * (4_000 - d) for d in range(4_000))
+
+
+def test_region_over_all_cells(spark):
+    """A region with many vertices reaches every cell, each time as the edges that decide there."""
+    rng = random.Random(9)
+    n = 20_000
+    outline = [((2 + 0.05 * math.sin(301 * t)) * math.cos(t), (2 + 0.05 * math.sin(301 * t)) * math.sin(t)) for t in (2 * math.pi * k / n for k in range(n))]
+    pts = [(i, rng.uniform(-2.2, 2.2), rng.uniform(-2.2, 2.2)) for i in range(3_000)]
+    regions = spark.createDataFrame([(1, [outline]), (2, [outline, [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]])], "region_id long, rings array<array<struct<x:double,y:double>>>")
+    got = {tuple(r) for r in proximity.points_in_regions(spark.createDataFrame(pts, "id long, lon double, lat double"), regions, cell_points=20).collect()}
+    x, y = np.array([p[1] for p in pts]), np.array([p[2] for p in pts])
+    edges = proximity._edges(np.array(outline + [(np.nan, np.nan)]).ravel())
+    within = proximity.inside(x, y, edges)
+    hole = (abs(x) < 1) & (abs(y) < 1)
+    assert got == {(1, int(i)) for i in np.flatnonzero(within)} | {(2, int(i)) for i in np.flatnonzero(within & ~hole)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=12), st.integers(0, 10), st.integers(0, 10), st.integers(0, 4), st.integers(0, 4))
+def test_clipped_edges_decide_as_all(ring, left, bottom, wide, high):
+    flat = np.array([*ring, (np.nan, np.nan)], float).ravel()
+    edges = proximity._edges(flat)
+    x, y = (v.ravel() for v in np.meshgrid(left + np.linspace(0, wide, 7) + 0.0137, bottom + np.linspace(0, high, 7)))
+    few = proximity.clip_edges(proximity._by_height(edges), (x.min(), y.min(), x.max(), y.max()))
+    assert (proximity.inside(x, y, few) == proximity.inside(x, y, edges)).all() and len(few[0]) <= len(edges[0])
+
+
 def test_vantage_point_tree_is_exact():
     rng = np.random.default_rng(4)
     x = proximity.unit_vectors(rng.normal(0, 0.01, 500), rng.normal(0, 0.01, 500))

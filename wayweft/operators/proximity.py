@@ -7,6 +7,8 @@ d(p, t) <= d(p, q) + d(q, t) <= r + d(q, s) <= 2 r + d(p, s) for the nearest piv
 and the same holds for the second level. So replication to every cell with d(p, t) <= min + 2 r loses no pair, and
 since a pair is reported only in the home cell of one of its points, none comes out twice.
 Inside a cell a vantage-point tree over the exact great-circle metric answers all range queries at once, level by level.
+Cells that are too full are cut into blocks, and a task gets two blocks of a cell, never all of it. Points at one place
+are one place of the tree. A region goes to a cell as the few edges that decide there, not with all its rings.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from wayweft.runtime import materialise, ship
 
 #: Radius of the sphere in metres.
 EARTH_M = 6_371_008.8
-#: Points that one cell should hold, and the most pivots there may be (they travel with the tasks: 24 bytes each).
+#: Points that one cell should hold, and the most pivots there may be (they travel with the tasks: 24 bytes each). With
+#: more points than both allow cells get fuller and are cut into more blocks; both can be given by the caller.
 CELL_POINTS = 4_000
 MAX_PIVOTS = 131_072
 #: Points drawn to estimate how full each cell is, as a multiple of the pivots.
@@ -30,6 +33,8 @@ SAMPLE_FACTOR = 8
 #: Metres by which pruning is laxer than the bounds, far above the rounding errors of the metric.
 SLACK_M = 0.5
 _LEAF = 12
+#: A cell is cut into blocks of this many times CELL_POINTS; rows that a task hands on at once.
+BLOCK_CELLS, FLUSH = 4, 500_000
 
 
 def unit_vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
@@ -161,24 +166,90 @@ class Pivots:
                 yield rows[r], self.first[i] + j
 
 
-def _pivots(points: DataFrame) -> tuple[Pivots, np.ndarray, int]:
-    """Pivots drawn from (id, lon, lat) by a hash of the id, the salts of each cell, and the number of points."""
+def _pivots(points: DataFrame, cell_points: int | None, max_pivots: int | None) -> tuple[Pivots, np.ndarray, int]:
+    """Pivots drawn from (id, lon, lat) by a hash of the row, the blocks of each cell, and the number of points."""
     ship(points.sparkSession)
+    size = cell_points or CELL_POINTS
     n = points.count()
-    wanted = int(min(MAX_PIVOTS, max(1, n // CELL_POINTS)))
+    wanted = int(min(max_pivots or MAX_PIVOTS, max(1, n // size)))
     draw = wanted * SAMPLE_FACTOR
     h = F.pmod(F.xxhash64(F.lit(11), "id", "lon", "lat"), F.lit(1 << 40))
     drawn = points.where(h <= int(min(1.0, 1.5 * draw / max(n, 1)) * (1 << 40))).select(h.alias("h"), "lon", "lat").orderBy("h").limit(draw)
-    rows = drawn.toArrow()  # at most MAX_PIVOTS * SAMPLE_FACTOR rows of 24 bytes
+    rows = drawn.toArrow()  # at most max_pivots * SAMPLE_FACTOR rows of 24 bytes
     sample = unit_vectors(rows["lon"].to_numpy(), rows["lat"].to_numpy())
     pivots = Pivots(sample, wanted)
     full = np.bincount(pivots.homes(sample), minlength=pivots.cells) * (n / max(len(sample), 1)) if len(sample) else np.zeros(pivots.cells)
-    return pivots, np.maximum(1, np.ceil(full / (4 * CELL_POINTS))).astype(np.int64), n
+    return pivots, np.maximum(1, np.ceil(full / (BLOCK_CELLS * size))).astype(np.int64), n
 
 
-def _tasks(df: DataFrame, n: int) -> int:
+def _tasks(df: DataFrame, n: int, cell_points: int | None) -> int:
     """Partitions for a join whose work is in Python, not in the bytes it reads."""
-    return int(max(df.sparkSession.sparkContext.defaultParallelism * 2, n // (20 * CELL_POINTS)))
+    return int(max(df.sparkSession.sparkContext.defaultParallelism * 2, n // (20 * (cell_points or CELL_POINTS))))
+
+
+def _block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The block of a cell in which an id is, evenly whatever the ids are."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i repeated counts[i] times: i, and 0, 1, ... within it."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _cuts(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices whose counts add up to about `most` (more only where a single one is larger)."""
+    upto, start = np.cumsum(counts), 0
+    while start < len(counts):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+        yield slice(start, end)
+        start = end
+
+
+def _gathered(portions: Iterator[tuple[np.ndarray, np.ndarray]], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of arrays joined to portions of about `most` (FLUSH), so that small ones cost no batch each."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for a, b in portions:
+        held.append((a, b))
+        size += len(a)
+        if size >= (most or FLUSH):
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held, size = [], 0
+    if size:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+class _Places:
+    """Ids grouped by distinct place."""
+
+    def __init__(self, ids: np.ndarray, lon: np.ndarray, lat: np.ndarray):
+        places, of = np.unique(lon + 1j * lat, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        self.ids, self.count = ids[order], np.bincount(of, minlength=len(places))
+        self.first = np.cumsum(self.count) - self.count
+        self.units = unit_vectors(places.real, places.imag)
+
+    def members(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, id) of every id at place[i]."""
+        row, at = _spread(self.count[place])
+        return row, self.ids[self.first[place[row]] + at]
+
+
+def _close(asking: _Places, tree: VantagePointTree, there: _Places, radius_m: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Id pairs a < b, a from asking and b from there, in portions of bounded size."""
+    for q, p in tree.within(asking.units, np.full(len(asking.units), float(radius_m))):
+        for part in _cuts(asking.count[q], FLUSH):
+            i, a = asking.members(q[part])
+            place = p[part][i]
+            for some in _cuts(there.count[place], FLUSH):
+                j, b = there.members(place[some])
+                first = a[some][j]
+                keep = first < b
+                if keep.any():
+                    yield first[keep], b[keep]
 
 
 def _place(lon: Column, lat: Column) -> Column:
@@ -187,11 +258,11 @@ def _place(lon: Column, lat: Column) -> Column:
     return ok(lon) & ok(lat)
 
 
-_NEAR_CELL = pa.schema([("cell", pa.int64()), ("salt", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])
+_NEAR_CELL = pa.schema([("cell", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("second", pa.bool_()), ("home", pa.bool_()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])
 _PAIRS = pa.schema([("a_id", pa.int64()), ("b_id", pa.int64())])
 
 
-def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
+def near_pairs(points: DataFrame, radius_m: float, cell_points: int | None = None, max_pivots: int | None = None) -> DataFrame:
     """a_id < b_id of all pairs of points (id, lon, lat) at most radius_m metres apart by great circle.
 
     Points with equal places are pairs like others. Rows with a null id or a coordinate that is null or no finite
@@ -199,7 +270,7 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     gives an empty result. Only the three columns are read.
     """
     rows = materialise(points.where(_place(F.col("lon"), F.col("lat")) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")), "points")
-    pivots, salts, n = _pivots(rows)
+    pivots, blocks, n = _pivots(rows, cell_points, max_pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,27 +278,24 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
             x = unit_vectors(lon, lat)
             home = pivots.homes(x)
             for row, cell in pivots.replicas(x, np.full(len(x), 2 * radius_m)):
-                many = salts[cell]
-                again = np.repeat(np.arange(len(row)), many)  # candidates go to every salt of a full cell
-                salt = np.arange(len(again)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-                row, cell = row[again], cell[again]
-                own = (home[row] == cell) & (ids[row] % salts[cell] == salt)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (cell, salt, own, ids[row], lon[row], lat[row])], schema=_NEAR_CELL)
-
-    def join(t: pa.Table) -> pa.Table:
-        ids, own = t["id"].to_numpy(), t["home"].to_numpy()
-        x = unit_vectors(t["lon"].to_numpy(), t["lat"].to_numpy())
-        at = np.flatnonzero(own)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q, p in VantagePointTree(x).within(x[at], np.full(len(at), float(radius_m))):
-            first, second = ids[at[q]], ids[p]
-            keep = first < second
-            a.append(first[keep])
-            b.append(second[keep])
-        return pa.table([np.concatenate(a), np.concatenate(b)], schema=_PAIRS)
-
-    cells = rows.mapInArrow(assign, "cell bigint, salt bigint, home boolean, id bigint, lon double, lat double")
-    return cells.repartition(_tasks(rows, n), "cell", "salt").groupBy("cell", "salt").applyInArrow(join, "a_id bigint, b_id bigint")
+                for part in _cuts(blocks[cell], FLUSH):
+                    again, other = _spread(blocks[cell[part]])  # a block meets every block of its cell
+                    r, c = row[part][again], cell[part][again]
+                    own = _block(ids[r], blocks[c])
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (c, np.minimum(own, other), np.maximum(own, other), own > other, home[r] == c, ids[r], lon[r], lat[r])], schema=_NEAR_CELL)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        ids, lon, lat, home, second = (t[c].to_numpy() for c in ("id", "lon", "lat", "home", "second"))
+        pick = lambda rows: _Places(ids[rows], lon[rows], lat[rows])
+        for asking, there in (((~second, ~second),) if t["i"][0] == t["j"][0] else ((~second, second), (second, ~second))):
+            if (home & asking).any() and there.any():
+                held = pick(there)
+                for a, b in _gathered(_close(pick(home & asking), VantagePointTree(held.units), held, radius_m)):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_PAIRS)
+
+    cells = rows.mapInArrow(assign, "cell bigint, i bigint, j bigint, second boolean, home boolean, id bigint, lon double, lat double")
+    return cells.repartition(_tasks(rows, n, cell_points), "cell", "i", "j").groupBy("cell", "i", "j").applyInArrow(join, "a_id bigint, b_id bigint")
 
 
 def _edges(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,20 +323,52 @@ def inside(x: np.ndarray, y: np.ndarray, edges: tuple[np.ndarray, ...]) -> np.nd
     return odd
 
 
-_POINT_CELL = pa.schema([("cell", pa.int64()), ("salt", pa.int64()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])
-_REGION_CELL = pa.schema([("cell", pa.int64()), ("salt", pa.int64()), ("region_id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("reach", pa.float64()), ("flat", pa.list_(pa.float64()))])
+def clip_edges(edges: tuple[np.ndarray, ...], box: tuple[float, float, float, float]) -> tuple[np.ndarray, ...]:
+    """Edges that decide the even-odd rule for all points of a box (x0, y0, x1, y1) as the given ones do.
+
+    A ray to the right crosses no edge left of the box and none above or below it. Of the edges right of the box only
+    the parity at each height counts: the heights at which it changes are the ends that do not pair up, and upright
+    edges between them stand for all. edges are ordered by _by_height().
+    """
+    x0, y0, x1, y1, upto = edges
+    left, bottom, right, top = box
+    near = slice(np.searchsorted(upto, bottom, "right"), np.searchsorted(np.minimum(y0, y1), top, "right"))
+    x0, y0, x1, y1 = x0[near], y0[near], x1[near], y1[near]
+    low, high = np.minimum(y0, y1), np.maximum(y0, y1)
+    on = (high > bottom) & (low <= top) & (np.maximum(x0, x1) >= left)
+    beyond = on & (np.minimum(x0, x1) > right)
+    here = on & ~beyond
+    beyond_top = np.nextafter(top, np.inf)
+    ends, n = np.unique(np.r_[np.maximum(low[beyond], bottom), np.minimum(high[beyond], beyond_top)], return_counts=True)
+    ends = ends[n % 2 == 1]  # an even number: every edge has two
+    far = np.full(len(ends) // 2, np.nextafter(right, np.inf) + 1.0)
+    return np.r_[x0[here], far], np.r_[y0[here], ends[0::2]], np.r_[x1[here], far], np.r_[y1[here], ends[1::2]]
+
+
+def _by_height(edges: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Edges that are not level by their lower end, and up to which height those so far reach."""
+    x0, y0, x1, y1 = edges
+    order = np.argsort(np.minimum(y0, y1), kind="stable")
+    order = order[y0[order] != y1[order]]
+    return x0[order], y0[order], x1[order], y1[order], np.maximum.accumulate(np.maximum(y0, y1)[order]) if len(order) else np.zeros(0)
+
+
+_CELL_ROW = pa.schema([("cell", pa.int64()), ("salt", pa.int64()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("reach", pa.float64()), ("edges", pa.list_(pa.float64()))])
+_CELL_DDL = "cell bigint, salt bigint, id bigint, lon double, lat double, reach double, edges array<double>"
+_INSIDE = pa.schema([("region_id", pa.int64()), ("id", pa.int64())])
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, cell_points: int | None = None, max_pivots: int | None = None) -> DataFrame:
     """region_id, id of points (id, lon, lat) inside regions (region_id, rings array<array<struct<x,y>>>).
 
     Even-odd rule over all rings, whose edges are straight in the lon/lat plane; either winding; unclosed rings are
-    closed. A region goes to every cell that its bounding circle may reach, by the triangle inequality; the tree gives
-    the points in that circle, the rule decides. A point on an edge may fall on either side. Rows with a null id or
+    closed. A region goes to every cell that its bounding circle may reach, by the triangle inequality, cut down to the
+    edges that decide for the box around that cell's points; the tree gives the points in the circle, the rule decides.
+    A point on an edge may fall on either side. Rows with a null id or
     without place, null vertices and regions without rings give nothing; repeated rows count once.
     """
     rows = materialise(points.where(_place(F.col("lon"), F.col("lat")) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct(), "places")
-    pivots, salts, n = _pivots(rows)
+    pivots, _, n = _pivots(rows, cell_points, max_pivots)
     good = lambda p: p.isNotNull() & _place(p["x"], p["y"])
     ring = lambda r: F.concat(F.flatten(F.transform(F.filter(r, good), lambda p: F.array(p["x"], p["y"]))), F.array(F.lit(float("nan")), F.lit(float("nan"))))
     vertices = F.filter(F.flatten(F.filter("rings", lambda r: r.isNotNull())), good)
@@ -283,45 +383,87 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     reach = (F.radians(F.col("y_max") - F.col("y_min")) + F.radians(F.col("x_max") - F.col("x_min")) * widest) / 2 * EARTH_M + SLACK_M
     shape = shape.select("region_id", ((F.col("x_min") + F.col("x_max")) / 2).alias("lon"), ((F.col("y_min") + F.col("y_max")) / 2).alias("lat"), reach.alias("reach"), "flat")
 
+    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lon, lat = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            cell, of = np.unique(pivots.homes(unit_vectors(lon, lat)), return_inverse=True)
+            box = [np.full(len(cell), v) for v in (np.inf, np.inf, -np.inf, -np.inf)]
+            for f, a, v in zip((np.minimum, np.minimum, np.maximum, np.maximum), box, (lon, lat, lon, lat)):
+                f.at(a, of, v)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (cell, *box, np.bincount(of, minlength=len(cell)))], names=["cell", "x0", "y0", "x1", "y1", "n"])
+
+    boxes = rows.mapInArrow(extents, "cell bigint, x0 double, y0 double, x1 double, y1 double, n bigint").groupBy("cell").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"), (F.sum, "n"))])
+    held = boxes.toArrow()  # at most a row of 48 bytes for each pivot
+    box = np.full((pivots.cells, 4), np.nan)
+    box[held["cell"].to_numpy()] = np.stack([held[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], 1)
+    salts = np.ones(pivots.cells, np.int64)
+    salts[held["cell"].to_numpy()] = np.maximum(1, -(-held["n"].to_numpy() // (BLOCK_CELLS * (cell_points or CELL_POINTS))))
+
     def assign_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lon, lat = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cell = pivots.homes(unit_vectors(lon, lat)) if len(ids) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (cell, ids % salts[cell], ids, lon, lat)], schema=_POINT_CELL)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(_block(ids, salts[cell])), pa.array(ids), pa.array(lon), pa.array(lat), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.float64()))], schema=_CELL_ROW)
 
     def assign_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            cell, ids, lon, lat, reach, edges = zip(*rows)
+            again, salt = _spread(salts[np.array(cell)])
+            flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in edges])].astype(np.int32)), pa.array(np.concatenate(edges)))
+            take = lambda v, kind: pa.array(np.array(v, kind)[again])
+            return pa.RecordBatch.from_arrays([take(cell, np.int64), pa.array(salt), take(ids, np.int64), take(lon, float), take(lat, float), take(reach, float), flat.take(pa.array(again))], schema=_CELL_ROW)
+
         for b in batches:
-            lon, lat, reach = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            for row, cell in pivots.replicas(unit_vectors(lon, lat), 2 * reach):
-                many = salts[cell]
-                again = np.repeat(np.arange(len(row)), many)
-                salt = np.arange(len(again)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-                for s in range(0, len(again), 2_000):
-                    part = again[s : s + 2_000]
-                    taken = b.take(pa.array(row[part]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(salt[s : s + 2_000]), *taken.columns], schema=_REGION_CELL)
-
-    def join(p: pa.Table, r: pa.Table) -> pa.Table:
+            ids, lon, lat, reach = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for k in range(len(ids)):
+                flat = np.asarray(b.column(4)[k].values)
+                edges = _by_height(_edges(flat))
+                if not len(edges[0]):
+                    continue
+                x0, x1 = np.nanmin(flat[0::2]), np.nanmax(flat[0::2])
+                y0, y1 = np.nanmin(flat[1::2]), np.nanmax(flat[1::2])
+                for _, cells in pivots.replicas(unit_vectors(lon[k : k + 1], lat[k : k + 1]), 2 * reach[k : k + 1]):
+                    at = box[cells]
+                    meet = (at[:, 0] <= x1) & (at[:, 2] >= x0) & (at[:, 1] <= y1) & (at[:, 3] >= y0)  # never for cells without points
+                    for cell in cells[meet]:
+                        own = clip_edges(edges, tuple(box[cell]))
+                        if len(own[0]):
+                            rows.append((cell, ids[k], lon[k], lat[k], reach[k], np.stack(own, 1).ravel()))
+                            size += 4 * len(own[0]) * salts[cell]
+                            if size > FLUSH:
+                                yield out()
+                                rows, size = [], 0
+        if rows:
+            yield out()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        p, r = t.filter(t["reach"].is_null()), t.filter(t["reach"].is_valid())
+        if not p.num_rows or not r.num_rows:
+            return
         ids, lon, lat = (p[c].to_numpy() for c in ("id", "lon", "lat"))
+        region, pieces = r["id"].to_numpy(), r["edges"].combine_chunks()
         tree = VantagePointTree(unit_vectors(lon, lat))
-        hits = list(tree.within(unit_vectors(r["lon"].to_numpy(), r["lat"].to_numpy()), r["reach"].to_numpy())) if r.num_rows else []
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if hits:
-            q, at = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
-            order = np.argsort(q, kind="stable")
-            q, at = q[order], at[order]
-            for k, s, e in zip(*(lambda u, i: (u, i, np.r_[i[1:], len(q)]))(*np.unique(q, return_index=True))):
-                own = at[s:e]
-                own = own[inside(lon[own], lat[own], _edges(np.asarray(r["flat"][int(k)].values)))]
-                b.append(ids[own])
-                a.append(np.full(len(own), r["region_id"][int(k)].as_py()))
-        return pa.table([np.concatenate(a), np.concatenate(b)], schema=pa.schema([("region_id", pa.int64()), ("id", pa.int64())]))
-
-    p = rows.mapInArrow(assign_points, "cell bigint, salt bigint, id bigint, lon double, lat double")
-    r = shape.mapInArrow(assign_regions, "cell bigint, salt bigint, region_id bigint, lon double, lat double, reach double, flat array<double>")
-    parts = _tasks(rows, n)
-    left, right = p.repartition(parts, "cell", "salt").groupBy("cell", "salt"), r.repartition(parts, "cell", "salt").groupBy("cell", "salt")
-    return left.cogroup(right).applyInArrow(join, "region_id bigint, id bigint").distinct()
+        hits = tree.within(unit_vectors(r["lon"].to_numpy(), r["lat"].to_numpy()), r["reach"].to_numpy())
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for q, at in _gathered(hits):
+                order = np.argsort(q, kind="stable")
+                q, at = q[order], at[order]
+                which, start = np.unique(q, return_index=True)
+                for k, s, e in zip(which, start, np.r_[start[1:], len(q)]):
+                    own = at[s:e]
+                    own = own[inside(lon[own], lat[own], tuple(np.asarray(pieces[int(k)].values).reshape(-1, 4).T))]
+                    yield np.full(len(own), region[k]), ids[own]
+
+        for a, b in _gathered(found()):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_INSIDE)
+
+    cells = rows.mapInArrow(assign_points, _CELL_DDL).unionByName(shape.mapInArrow(assign_regions, _CELL_DDL))
+    return cells.repartition(_tasks(rows, n, cell_points), "cell", "salt").groupBy("cell", "salt").applyInArrow(join, "region_id bigint, id bigint").distinct()
 
 
 def current_nodes(nodes: DataFrame) -> DataFrame:
