@@ -149,8 +149,7 @@ def match_stats(net: Network) -> DataFrame:
         F.coalesce(F.sum(miles), F.lit(0.0)).alias("miles"), F.coalesce(F.sum(F.when(F.col("match_id").isNotNull(), miles)), F.lit(0.0)).alias("miles_matched"),
     )
     matched = F.col("match_id").isNotNull() if "match_id" in net.jcts.columns else F.lit(False)
-    jct = net.jcts.agg(F.count("*").alias("num_jcts"), F.count_if(matched).alias("num_jcts_matched"))
-    both = seg.withColumn("_one", F.lit(1)).join(F.broadcast(jct.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row each
+    both = seg.withColumns({"num_jcts": net.jcts.agg(F.count("*")).scalar(), "num_jcts_matched": net.jcts.agg(F.count_if(matched)).scalar()})
     return both.withColumns({"percent_segs_matched": maps.percent(F.col("num_segs_matched"), F.col("num_segs")), "percent_jcts_matched": maps.percent(F.col("num_jcts_matched"), F.col("num_jcts"))})
 
 

@@ -56,8 +56,13 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_p5(spark, d))
 
 
+def p5_heavy(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with so many references that they are checked by broadcast."""
+    return orphans.heavy_keys(table(spark, d, "osm_ways"), table(spark, d, "jcts"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_identities, p3_elements, p4_found, p5_found, p5_report)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_identities, p3_elements, p4_found, p5_found, p5_report, p5_heavy)
 }
 
 _P5 = """
@@ -133,4 +138,8 @@ SELECT elem_type, elem_id, count(*) AS n_occurrences, count(DISTINCT raw_id) AS
     "p4_found": _P4,
     "p5_found": _P5 + "SELECT * FROM found",
     "p5_report": _P5 + "SELECT ref_table, period, count(*) AS n_refs, count(DISTINCT node_id) AS n_keys FROM found GROUP BY 1, 2",
+    "p5_heavy": """
+WITH refs AS (SELECT unnest(list_distinct(nodes)) AS node_id FROM osm_ways WHERE loaded_at IS NOT NULL UNION ALL SELECT node_id FROM jcts WHERE loaded_at IS NOT NULL),
+n AS (SELECT node_id, count(*) AS n_refs FROM refs WHERE node_id IS NOT NULL GROUP BY 1)
+SELECT * FROM n WHERE n_refs * 10000 >= (SELECT sum(n_refs) FROM n)""",
 }

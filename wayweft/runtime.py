@@ -106,9 +106,9 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], weight: str, share: int) ->
 
     counts has one row for each combination of keys (and possibly finer ones); weight is summed.
     """
-    per_key = counts.groupBy(*keys).agg(F.sum(weight).alias("_w"), F.lit(1).alias("_one"))
-    total = counts.agg(F.sum(weight).alias("_t"), F.lit(1).alias("_one"))  # one row
-    return per_key.join(F.broadcast(total), "_one").where(F.col("_w") * share >= F.col("_t")).select(*keys)
+    total = counts.agg(F.sum(weight)).scalar()  # one number, not a join
+    per_key = counts.groupBy(*keys).agg(F.sum(weight).alias("_w"))
+    return per_key.where(F.col("_w") * share >= total).select(*keys)
 
 
 def month_index(ts: Column) -> Column:
