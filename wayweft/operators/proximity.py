@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayweft.functions.arrays import cuts, spread
 from wayweft.runtime import materialise, ship
 
 #: Radius of the sphere in metres.
@@ -193,21 +194,6 @@ def _block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) % blocks.astype(np.uint64)).astype(np.int64)
 
 
-def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i repeated counts[i] times: i, and 0, 1, ... within it."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _cuts(counts: np.ndarray, most: int) -> Iterator[slice]:
-    """Consecutive slices whose counts add up to about `most` (more only where a single one is larger)."""
-    upto, start = np.cumsum(counts), 0
-    while start < len(counts):
-        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
-        yield slice(start, end)
-        start = end
-
-
 def _gathered(portions: Iterator[tuple[np.ndarray, np.ndarray]], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of arrays joined to portions of about `most` (FLUSH), so that small ones cost no batch each."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -234,17 +220,17 @@ class _Places:
 
     def members(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(i, id) of every id at place[i]."""
-        row, at = _spread(self.count[place])
+        row, at = spread(self.count[place])
         return row, self.ids[self.first[place[row]] + at]
 
 
 def _close(asking: _Places, tree: VantagePointTree, there: _Places, radius_m: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Id pairs a < b, a from asking and b from there, in portions of bounded size."""
     for q, p in tree.within(asking.units, np.full(len(asking.units), float(radius_m))):
-        for part in _cuts(asking.count[q], FLUSH):
+        for part in cuts(asking.count[q], FLUSH):
             i, a = asking.members(q[part])
             place = p[part][i]
-            for some in _cuts(there.count[place], FLUSH):
+            for some in cuts(there.count[place], FLUSH):
                 j, b = there.members(place[some])
                 first = a[some][j]
                 keep = first < b
@@ -278,8 +264,8 @@ def near_pairs(points: DataFrame, radius_m: float, cell_points: int | None = Non
             x = unit_vectors(lon, lat)
             home = pivots.homes(x)
             for row, cell in pivots.replicas(x, np.full(len(x), 2 * radius_m)):
-                for part in _cuts(blocks[cell], FLUSH):
-                    again, other = _spread(blocks[cell[part]])  # a block meets every block of its cell
+                for part in cuts(blocks[cell], FLUSH):
+                    again, other = spread(blocks[cell[part]])  # a block meets every block of its cell
                     r, c = row[part][again], cell[part][again]
                     own = _block(ids[r], blocks[c])
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in (c, np.minimum(own, other), np.maximum(own, other), own > other, home[r] == c, ids[r], lon[r], lat[r])], schema=_NEAR_CELL)
@@ -411,7 +397,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_points: int |
 
         def out() -> pa.RecordBatch:
             cell, ids, lon, lat, reach, edges = zip(*rows)
-            again, salt = _spread(salts[np.array(cell)])
+            again, salt = spread(salts[np.array(cell)])
             flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in edges])].astype(np.int32)), pa.array(np.concatenate(edges)))
             take = lambda v, kind: pa.array(np.array(v, kind)[again])
             return pa.RecordBatch.from_arrays([take(cell, np.int64), pa.array(salt), take(ids, np.int64), take(lon, float), take(lat, float), take(reach, float), flat.take(pa.array(again))], schema=_CELL_ROW)
