@@ -261,6 +261,87 @@ def test_one_to_one_factors_choose(spark):
     assert got[9, 1] > 0.7 and got[9, 2] < 0.3
 
 
+def geo(points):
+    return json.dumps({"type": "LineString", "coordinates": points})
+
+
+def test_streets_across_the_180th_meridian(spark):
+    deg = 1 / 111_195
+    road = {"highway": "residential", "name": "Date Line"}
+    city = [(1, "DATE LINE", "MINOR", geo([[179.99995, 0.0], [179.99995, 100 * deg]])), (2, "DATE LINE", "MINOR", geo([[179.9999, 0.01], [180.0001, 0.01]])), (3, "DATE LINE", "MINOR", geo([[-180.0, 0.02], [-180.0, 0.021]]))]
+    osm = [(11, road, geo([[-179.99997, 0.0], [-179.99997, 100 * deg]])), (12, road, geo([[179.9999, 0.01 + 2 * deg], [-179.9999, 0.01 + 2 * deg]])), (13, road, geo([[180.0, 0.021], [180.0, 0.02]]))]
+    got = match(spark, city, osm)
+    assert {k for k, v in got.items() if v >= entity_match.MATCH} == {(1, 11), (2, 12), (3, 13)}
+
+
+def test_short_lines_are_candidates(spark):
+    """Lines that fall between the stations of others, on either side."""
+    road = {"highway": "residential", "name": "Elm Avenue"}
+    osm = [(i, road, line([(x, 2), (x + 3, 2)])) for i, x in enumerate(range(0, 200, 3))]
+    got = match(spark, [(1, "ELM AVE", "MINOR", line([(0, 0), (201, 0)]))], osm)
+    assert {k for k, v in got.items() if v >= entity_match.MATCH} == {(1, i) for i in range(len(osm))}
+    got = match(spark, [(i, "ELM AVE", "MINOR", g) for i, _, g in osm], [(1, road, line([(0, 0), (201, 0)]))])
+    assert {k for k, v in got.items() if v >= entity_match.MATCH} == {(i, 1) for i in range(len(osm))}
+
+
+def test_exact_copies_share_their_result(spark):
+    """Copies under several ids do not compete with each other, and every one gets every counterpart."""
+    road = {"highway": "residential", "name": "Oak Street"}
+    city = [(i, "OAK ST", "MINOR", line([(0, 0), (100, 0)])) for i in (1, 2, 3)] + [(4, "ELM ST", "MINOR", line([(0, 50), (100, 50)]))]
+    osm = [(i, road, line([(1, 2), (99, 2)])) for i in range(10, 40)] + [(50, {"highway": "residential", "name": "Elm St"}, line([(0, 52), (100, 52)]))]
+    got = match(spark, city, osm)
+    assert {k for k, v in got.items() if v >= entity_match.MATCH} == {(c, o) for c in (1, 2, 3) for o in range(10, 40)} | {(4, 50)}
+
+
+def test_one_to_one_leaves_one_counterpart(spark):
+    road = {"highway": "residential", "name": "Elm Avenue"}
+    c = spark.createDataFrame([(4, "ELM AVE", "MINOR", line([(500, 0), (600, 0)]), None)], "objectid long, fullname string, category string, geometry string, loaded_at timestamp")
+    o = spark.createDataFrame([(14, road, line([(500, 3), (548, 3)]), None), (15, road, line([(548, 3), (600, 3)]), None)], "way_id long, tags map<string,string>, geometry string, loaded_at timestamp")
+    loose = [r.confidence for r in entity_match.match_streets(c, o).collect()]
+    strict = [r.confidence for r in entity_match.match_streets(c, o, one_to_one=True).collect()]
+    assert min(loose) > 0.9 and len(strict) == 2 and sum(strict) <= 1.02
+
+
+@pytest.mark.parametrize("where", [(-170.0, 43.0), (180.0, 0.0), (10.0, 89.0)])
+def test_candidates_equal_brute_force(spark, where):
+    """Every pair of which a station of one line lies beside the other line: the grid loses none."""
+    rng, (lon, lat) = random.Random(4), where
+    kx = 111_195.08 * math.cos(math.radians(lat))
+    place = lambda x, y: [(lon + x / kx + 180) % 360 - 180, lat + y / 111_195.08]
+
+    def lines(first, n):
+        out = {}
+        for i in range(n):
+            x, y, turn, size = rng.uniform(-150, 150), rng.uniform(-150, 150), rng.uniform(0, 2 * math.pi), rng.uniform(20, 150)
+            out[first + i] = [place(x + t * size * math.cos(turn + 0.1 * t), y + t * size * math.sin(turn + 0.1 * t)) for t in (0, 0.3, 0.7, 1)]
+        return out
+
+    left, right = lines(0, 60), lines(1000, 60)
+    table = lambda rows, key: spark.createDataFrame([(i, geo(p)) for i, p in rows.items()], f"{key} long, geometry string")
+    got = {(r.c_id, r.o_id) for r in entity_match.candidate_pairs(table(left, "c_id"), table(right, "o_id")).collect()}
+    whole = pa_batch(left)
+    want, doubt = set(), set()
+    for b in entity_match._stations(iter([whole])):
+        for s in b.to_pylist():
+            across = math.cos(math.radians(s["lat"])) * 111_195.08
+            for o, pts in right.items():
+                for p, q in zip(pts, pts[1:]):
+                    wrap = lambda d: (d + 180) % 360 - 180
+                    ex, ey, px, py = wrap(q[0] - p[0]) * across, (q[1] - p[1]) * 111_195.08, wrap(s["lon"] - p[0]) * across, (s["lat"] - p[1]) * 111_195.08
+                    size = math.hypot(ex, ey)
+                    along, off, turn = (px * ex + py * ey) / size, abs(px * ey - py * ex) / size, abs(s["east"] * ex + s["north"] * ey) / size
+                    for out, slack in ((want, -0.01), (doubt, 0.01)):
+                        if off <= entity_match.REACH_M + slack and -entity_match.OVERHANG_M - slack <= along <= size + entity_match.OVERHANG_M + slack and turn >= math.cos(math.radians(entity_match.TURN_DEG + slack)):
+                            out.add((s["c_id"], o))
+    assert len(want) > 50 and want <= got and len(got - doubt) <= len(want) // 50  # long legs are cut, so a bend of the grid may add a pair at the rim
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array([geo(p) for p in rows.values()])], names=["id", "geometry"])
+
+
 def test_belief_propagation_is_exact_on_trees(spark):
     """A chain of pairs that compete two by two: marginals by enumeration."""
     odds = [0.5, 1.5, -0.3, 0.8]
