@@ -177,7 +177,7 @@ def berkeley_names(fullname: Column, category: Column) -> Column:
     words = F.split(fullname, " ")
     first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     positive = "^[+]?0*[1-9][0-9]*$"
-    route = F.when(first.startswith("I") & F.substring(first, 2, 1000).rlike(positive), first).when((first == "HWY") & second.rlike(positive), F.concat(F.lit("CA "), second))
+    route = F.when(first.rlike(positive.replace("^", "^I")), first).when((first == "HWY") & second.rlike(positive), F.concat(F.lit("CA "), second))
     extra = F.when(category.isin("CONNECTOR", "HIGHWAY") & (F.size(words) > 1) & route.isNotNull(), F.array(route)).otherwise(_empty())
     return F.when(fullname.isNull() | F.coalesce(generic, F.lit(False)), _empty()).otherwise(F.concat(F.array(fullname), extra))
 

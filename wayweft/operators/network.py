@@ -40,13 +40,13 @@ def line_parts(features: DataFrame) -> DataFrame:
 
 def from_centerlines(
     features: DataFrame, names_of: Callable[[DataFrame], Column] | None = None, keep: Column | None = None, props: Sequence[str] | None = None,
-    clip: tuple[float, float, float, float] | None = None, name: str = "", units: str = "meters",
+    clip: tuple[float, float, float, float] | None = None, name: str = "", units: str = "meters", config: names.CanonConfig = names.DEFAULT,
 ) -> Network:
     """A network from line features (ord, geom_type, parts, props map<string,string>).
 
     keep filters features; segments are numbered in input order after it and before clipping, so clipped segments leave
     gaps. Ends at exactly the same place share a junction; junctions are numbered as first seen. Other geometries are
-    skipped, parts of fewer than two points too.
+    skipped, parts of fewer than two points too. config: rules of the canonical names.
     """
     if keep is not None:
         features = features.where(keep)
@@ -63,7 +63,7 @@ def from_centerlines(
     places = dense_ids(places, ["at"], "jct_id").select("jct_id", "x", "y")
     for end, jct in (("p", "from_jct"), ("q", "to_jct")):
         rows = rows.withColumns({"x": zero(F.col(f"{end}.x")), "y": zero(F.col(f"{end}.y"))}).join(places.withColumnRenamed("jct_id", jct), ["x", "y"]).drop("x", "y")
-    segs = rows.select("seg_id", "from_jct", "to_jct", "pts", names.canonical_names(F.col("names")).alias("names"), "tags")
+    segs = rows.select("seg_id", "from_jct", "to_jct", "pts", names.canonical_names(F.col("names"), config).alias("names"), "tags")
     jcts = places.select("jct_id", F.struct("x", "y").alias("pt"), F.create_map().cast("map<string,string>").alias("tags"))
     return Network(segs, jcts, name, units)
 
