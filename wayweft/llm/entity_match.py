@@ -178,7 +178,7 @@ def _stations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = _row(p[:, 1])
             columns = _columns(row)
             column = np.floor(p[:, 0] % 360 * columns / 360).astype(np.int64) % columns
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[line], k, legs.total[line], p[:, 0], p[:, 1], east / size, north / size, _cell(row, column))], names=_STATION_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[line], k, legs.total[line], (p[:, 0] + 180) % 360 - 180, p[:, 1], east / size, north / size, _cell(row, column))], names=_STATION_NAMES)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +206,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in range(0, len(piece), FLUSH):
                 p, o = piece[part : part + FLUSH], line[part : part + FLUSH]
                 size = legs.length[leg[p]] / n[p]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[o], legs.total[o], legs.before[leg[p]] + size * k[p], size, s[p, 0], s[p, 1], e[p, 0], e[p, 1], cell[part : part + FLUSH])], names=_PIECE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[o], legs.total[o], legs.before[leg[p]] + size * k[p], size, (s[p, 0] + 180) % 360 - 180, s[p, 1], e[p, 0] - s[p, 0], e[p, 1] - s[p, 1], cell[part : part + FLUSH])], names=_PIECE_NAMES)
 
 
 _STATION_DDL = "c_id bigint, station bigint, c_len double, lon double, lat double, east double, north double, cell bigint"
-_PIECE_DDL = "o_id bigint, o_len double, from_m double, piece_m double, lon0 double, lat0 double, lon1 double, lat1 double, cell bigint"
+_PIECE_DDL = "o_id bigint, o_len double, from_m double, piece_m double, lon0 double, lat0 double, d_lon double, d_lat double, cell bigint"
 _STATION_NAMES, _PIECE_NAMES = ([f.split()[0] for f in ddl.split(", ")] for ddl in (_STATION_DDL, _PIECE_DDL))
 
 
@@ -236,9 +236,10 @@ def _met(left: DataFrame, pieces: DataFrame) -> DataFrame:
     stations = materialise(left.mapInArrow(_stations, _STATION_DDL), "stations")
     met = salted_join(stations, pieces, "cell")
     across = F.cos(F.radians("lat")) * _M_PER_DEG
-    east = lambda a, b: F.pmod(F.col(a) - F.col(b) + 180, F.lit(360.0)) - 180  # noqa: E731  (the shorter way around)
-    ex, ey = east("lon1", "lon0") * across, (F.col("lat1") - F.col("lat0")) * _M_PER_DEG
-    px, py = east("lon", "lon0") * across, (F.col("lat") - F.col("lat0")) * _M_PER_DEG
+    east = F.col("lon") - F.col("lon0")
+    east = F.when(east > 180, east - 360).when(east < -180, east + 360).otherwise(east)  # the shorter way around
+    ex, ey = F.col("d_lon") * across, F.col("d_lat") * _M_PER_DEG
+    px, py = east * across, (F.col("lat") - F.col("lat0")) * _M_PER_DEG
     met = met.withColumns({"ex": ex, "ey": ey, "px": px, "py": py})
     met = met.withColumn("size", F.greatest(F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")), F.lit(1e-9)))
     met = met.withColumns({"along": (F.col("px") * F.col("ex") + F.col("py") * F.col("ey")) / F.col("size"), "off": F.abs(F.col("px") * F.col("ey") - F.col("py") * F.col("ex")) / F.col("size"), "turn": F.abs(F.col("east") * F.col("ex") + F.col("north") * F.col("ey")) / F.col("size")})
