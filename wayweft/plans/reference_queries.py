@@ -15,7 +15,6 @@ from wayweft.functions import geom, maps, names
 from wayweft.functions.projection import Projection, parse_proj4
 from wayweft.operators import features, grid, matching, network, osm, scoring
 from wayweft.operators.network import Network
-from wayweft.plans import reports
 from wayweft.runtime import shared_path, table
 from wayweft.sources import geojson, osm_files, tables
 
@@ -45,9 +44,11 @@ def _planar(p: Column) -> Column:
 
 
 def _features(spark: SparkSession, d: str, name: str, key: str, props: list[Column]) -> DataFrame:
-    """Feature rows of a table with GeoJSON geometry: one for each id."""
+    """Feature rows of a table with GeoJSON geometry: of each id the row that was delivered last."""
     cols = [c for c in table(spark, d, name).columns if c not in (key, "loaded_at", "geometry")]
-    rows = table(spark, d, name).groupBy(key).agg(F.min("geometry").alias("geometry"), *[F.min(c).alias(c) for c in cols if c != "tags"], *([F.min_by("tags", "geometry").alias("tags")] if "tags" in cols else []))
+    order = F.struct("loaded_at", "geometry", *[c for c in cols if c != "tags"])
+    rows = table(spark, d, name).groupBy(key).agg(F.max(order).alias("m"), *([F.max_by("tags", order).alias("tags")] if "tags" in cols else []))
+    rows = rows.select(key, "m.*", *(["tags"] if "tags" in cols else [])).drop("loaded_at")
     g = rows.withColumn("f", F.try_parse_json(F.concat(F.lit('{"geometry":'), "geometry", F.lit("}"))))
     parsed = geojson._rows(g.withColumn("ord", F.col(key))).select("ord", "geom_type", "parts")
     return rows.join(parsed, rows[key] == parsed["ord"]).withColumn("parts", F.transform("parts", lambda line: F.transform(line, _planar)))
@@ -62,7 +63,7 @@ def _city_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CITY = f"""
-one AS (SELECT objectid, min(geometry) AS geometry, min(fullname) AS fullname, min(category) AS category FROM centerline GROUP BY objectid),
+one AS (SELECT objectid, geometry, fullname, category FROM centerline QUALIFY row_number() OVER (PARTITION BY objectid ORDER BY loaded_at DESC NULLS LAST, geometry DESC NULLS LAST, fullname DESC NULLS LAST, category DESC NULLS LAST) = 1),
 multi AS (SELECT *, CASE WHEN geometry->>'type' = 'LineString' THEN [(geometry->'coordinates')::DOUBLE[][]] ELSE (geometry->'coordinates')::DOUBLE[][][] END AS g FROM one),
 city AS (SELECT objectid, fullname, category, part - 1 AS part, list_transform(g[part], lambda p: {{'x': (p[1] + {LON0}) * {KX}, 'y': (p[2] - {LAT0}) * {KY}}}) AS pts
   FROM (SELECT *, unnest(range(1, len(g) + 1)) AS part FROM multi))"""
@@ -86,7 +87,7 @@ def _r(c: Column, n: int = 3) -> Column:
 # Names
 
 
-def _canonical_sql(name: str, upto: str = "canonical") -> str:
+def canonical_sql(name: str, upto: str = "canonical") -> str:
     words = ", ".join(f"'{k}': '{v}'" for k, v in names.WORDS.items())
     text = f"regexp_replace(replace({name}, '''', ''), '[^A-Za-z0-9 ]', ' ', 'g')"
     if upto == "restricted":
@@ -100,8 +101,8 @@ def _canonical_sql(name: str, upto: str = "canonical") -> str:
 
 
 @query("ref_n4_n9_canonical_names", f"""
-SELECT fullname, restricted, substituted, rewritten, {_canonical_sql('fullname')} AS canonical FROM (
-SELECT fullname, {_canonical_sql('fullname', 'restricted')} AS restricted, {_canonical_sql('fullname', 'substituted')} AS substituted, {_canonical_sql('fullname', 'rewritten')} AS rewritten
+SELECT fullname, restricted, substituted, rewritten, {canonical_sql('fullname')} AS canonical FROM (
+SELECT fullname, {canonical_sql('fullname', 'restricted')} AS restricted, {canonical_sql('fullname', 'substituted')} AS substituted, {canonical_sql('fullname', 'rewritten')} AS rewritten
 FROM (SELECT DISTINCT fullname FROM centerline WHERE fullname IS NOT NULL UNION SELECT DISTINCT tags['name'] FROM osm_lines WHERE tags['name'] IS NOT NULL))""")
 def n4_n9(spark, d):
     of = table(spark, d, "centerline").select("fullname").union(table(spark, d, "osm_lines").select(F.element_at("tags", "name"))).where("fullname IS NOT NULL").distinct()
@@ -114,7 +115,7 @@ _NAMED = "named AS (SELECT DISTINCT way_id, tags['name'] AS a, tags['alt_name']
 
 
 @query("ref_n1_n3_a10_name_scores", f"""
-WITH {_NAMED}, canon AS (SELECT way_id, a, b, c, {_canonical_sql('a')} AS x, {_canonical_sql('b')} AS y, {_canonical_sql('c')} AS z FROM named),
+WITH {_NAMED}, canon AS (SELECT way_id, a, b, c, {canonical_sql('a')} AS x, {canonical_sql('b')} AS y, {canonical_sql('c')} AS z FROM named),
 best AS (SELECT *, list_max(list_filter([CASE WHEN x <> '' AND y <> '' THEN 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END,
   CASE WHEN x <> '' AND z <> '' THEN 1 - levenshtein(x, z)::DOUBLE / greatest(length(x), length(z)) END], lambda v: v IS NOT NULL)) AS p FROM canon)
 SELECT way_id, a, b, c, coalesce(round(p * 100)::INTEGER, -1) AS score, coalesce(round(p, 6), -1) AS probability FROM best""")
@@ -492,7 +493,7 @@ places AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) AS jct_id FROM en
 segs AS (SELECT k.seg_id, k.fullname, k.category, k.pts, a.jct_id AS from_jct, b.jct_id AS to_jct FROM kept k JOIN places a ON a.x = k.pts[1].x AND a.y = k.pts[1].y JOIN places b ON b.x = k.pts[-1].x AND b.y = k.pts[-1].y)"""
 
 
-@query("ref_p1_w1_j7_city_network", f"WITH {_CITY_NET} SELECT seg_id, from_jct, to_jct, category, {_canonical_sql('fullname')} AS name, round({_LENGTH}, 3) AS length FROM segs")
+@query("ref_p1_w1_j7_city_network", f"WITH {_CITY_NET} SELECT seg_id, from_jct, to_jct, category, {canonical_sql('fullname')} AS name, round({_LENGTH}, 3) AS length FROM segs")
 def p1(spark, d):
     net = _city_network(spark, d)
     plain = _city_lines(spark, d).where(F.col("category").isin("CONNECTOR", "HIGHWAY", "MAJOR", "MINOR", "PEDESTRIAN") & (F.size("pts") >= 2))
@@ -545,17 +546,7 @@ def p4(spark, d):
     return network.split_segments(segs, cuts).select("seg_id", _r(geom.length(F.col("pts"))).alias("length"))
 
 
-@query("ref_a2_a3_match_stats", f"""
-WITH {_CITY_NET}, l AS (SELECT seg_id, {_LENGTH} * {geom.MILES_PER_METRE} AS miles FROM segs)
-SELECT count(*) AS num_segs, count(*) FILTER (seg_id % 3 = 0) AS num_segs_matched, round(sum(miles), 3) AS miles, round(sum(miles) FILTER (seg_id % 3 = 0), 3) AS miles_matched,
-  CASE WHEN count(*) = 0 THEN 0 ELSE round(100.0 * count(*) FILTER (seg_id % 3 = 0) / count(*))::BIGINT END AS percent_segs_matched, (SELECT count(*) FROM places) AS num_jcts FROM l""")
-def a2(spark, d):
-    net = _city_network(spark, d)
-    net = net.with_(segs=net.segs.withColumn("match_id", F.when(F.col("seg_id") % 3 == 0, F.col("seg_id"))))
-    return network.match_stats(net).select("num_segs", "num_segs_matched", _r(F.col("miles")).alias("miles"), _r(F.col("miles_matched")).alias("miles_matched"), "percent_segs_matched", "num_jcts")
-
-
-@query("ref_a11_skipped", "SELECT count(*) FILTER (geometry->>'type' NOT IN ('LineString', 'MultiLineString')) AS skipped, count(*) AS features FROM (SELECT objectid, min(geometry) AS geometry FROM centerline GROUP BY objectid)")
+@query("ref_a11_skipped", "SELECT count(*) FILTER (geometry->>'type' NOT IN ('LineString', 'MultiLineString')) AS skipped, count(*) AS features FROM (SELECT objectid, arg_max(geometry, loaded_at) AS geometry FROM centerline GROUP BY objectid)")
 def a11(spark, d):
     return features.skipped_counts(_city(spark, d))
 
@@ -627,40 +618,6 @@ def r2(spark, d):
     return rows.groupBy("k", "n", "score_name", "score_geo1", "score_geo2", "score_bearing1", "score_bearing2", "score").agg(F.count("*").alias("c"))
 
 
-def _report_pairs(spark, d) -> DataFrame:
-    """OSM lines with an older or other name, as if matched to a street of that name."""
-    rows = table(spark, d, "osm_lines").groupBy("way_id").agg(F.min_by("tags", "geometry").alias("tags"))
-    other = F.coalesce(F.element_at("tags", "old_name"), F.element_at("tags", "alt_name"))
-    rows = rows.where(F.element_at("tags", "name").isNotNull() & other.isNotNull())
-    n1, n2 = F.array(names.canonical(F.element_at("tags", "name"))), F.array(names.canonical(other))
-    line = F.array(geom.point(F.lit(0), F.lit(0)), geom.point(F.lit(1), F.lit(1)))
-    return rows.select(F.col("way_id").alias("seg_id"), line.alias("pts"), maps.merge(F.col("tags"), F.create_map(F.lit("way_id"), F.col("way_id").cast("string"))).alias("tags"), n1.alias("names1"), n2.alias("names2"), F.col("tags").alias("tags2"), (F.col("way_id") % 101).cast("int").alias("score"), names.match_score(n1, n2, None).alias("score_name"))
-
-
-_REPORT = f"""
-one AS (SELECT way_id, arg_min(tags, geometry) AS tags FROM osm_lines GROUP BY way_id),
-pair AS (SELECT way_id, tags, tags['name'] AS na, coalesce(tags['old_name'], tags['alt_name']) AS nb FROM one WHERE tags['name'] IS NOT NULL AND coalesce(tags['old_name'], tags['alt_name']) IS NOT NULL),
-canon AS (SELECT way_id, tags, {_canonical_sql('na')} AS osm, {_canonical_sql('nb')} AS city FROM pair),
-wrong AS (SELECT * FROM canon WHERE way_id % 101 >= 50 AND coalesce(round(100 * (1 - levenshtein(osm, city)::DOUBLE / greatest(length(osm), length(city)))), 100) <> 100)"""
-
-
-@query("ref_o7_f15_f18_mismatch_report", f"""
-WITH {_REPORT} SELECT osm, city, 'http://www.openstreetmap.org/way/' || min(way_id) AS way, CASE WHEN arg_min(tags['verified:name'] IS NOT NULL OR tags['source:name'] IS NOT NULL, way_id) THEN 'True' ELSE 'False' END AS "osmVerified" FROM wrong GROUP BY osm, city""")
-def o7(spark, d):
-    return reports.mismatched_names(_report_pairs(spark, d)).table
-
-
-@query("ref_a9_report_counts", f"WITH {_REPORT} SELECT count(*) AS raw, count(DISTINCT (osm, city)) AS unique_pairs FROM wrong")
-def a9(spark, d):
-    return reports.mismatched_names(_report_pairs(spark, d)).counts
-
-
-@query("ref_o8_f16_fixed_report", f"""
-WITH {_REPORT} SELECT city AS old, osm AS new, 'http://www.openstreetmap.org/way/' || min(way_id) AS way FROM wrong WHERE coalesce(tags['surface'], '') <> '' GROUP BY osm, city""")
-def o8(spark, d):
-    pairs = _report_pairs(spark, d).withColumn("tags", maps.merge(F.col("tags"), F.map_filter(F.create_map(F.lit("source:name"), F.element_at("tags", "surface")), lambda _, v: v.isNotNull())))
-    return reports.fixed_names(pairs).table
-
 
 # Schema inference and sources
 
