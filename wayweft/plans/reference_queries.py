@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayweft.functions import geom, maps, names
-from wayweft.functions.projection import Projection, parse_proj4
+from wayweft.functions.projection import parse_proj4
 from wayweft.operators import features, grid, matching, network, osm, scoring
 from wayweft.operators.network import Network
 from wayweft.runtime import shared_path, table
@@ -87,16 +87,26 @@ def _r(c: Column, n: int = 3) -> Column:
 # Names
 
 
+#: Fixed values, written independently of the functions' own table: what the words in the tables' names become.
+_WORDS_SQL = """{'AVENU': 'AVE', 'AVENUE': 'AVE', 'BOULEVARD': 'BLVD', 'CIRCL': 'CIR', 'CIRCLE': 'CIR', 'COURT': 'CT', 'CR': 'CRK', 'CRCLE': 'CIR',
+  'DRIV': 'DR', 'DRIVE': 'DR', 'EAST': 'E', 'HIGHWAY': 'HWY', 'LANE': 'LN', 'NORTH': 'N', 'NORTHEAST': 'NE', 'NORTHWEST': 'NW', 'PARKWAY': 'PKWY',
+  'PARKWY': 'PKWY', 'PKY': 'PKWY', 'PLACE': 'PL', 'ROAD': 'RD', 'SOUTH': 'S', 'SOUTHEAST': 'SE', 'SOUTHWEST': 'SW', 'STREET': 'ST', 'TERRACE': 'TER',
+  'TR': 'TRL', 'TRAIL': 'TRL', 'WEST': 'W', 'WY': 'WAY'}"""
+_REWRITES_SQL = (
+    (r"^(.*\bI)([0-9].*)$", r"\1 \2"), (r"^(.*[0-9]\s+)\bFWY\b(.*)$", r"\1\2"), (r"^(.*)\bTRANSIT\s+CTR\b(.*)$", r"\1TC\2"),
+    (r"^(.*)\bUNITED\s+STATES\b(.*)$", r"\1US\2"), (r"^(.*)\b(MC|LE)\s+(\S+.*)$", r"\1\2\3"), (r"^(.*)\b(?:US|OR)\s*([0-9].*)$", r"\1HWY \2"),
+)
+
+
 def canonical_sql(name: str, upto: str = "canonical") -> str:
-    words = ", ".join(f"'{k}': '{v}'" for k, v in names.WORDS.items())
     text = f"regexp_replace(replace({name}, '''', ''), '[^A-Za-z0-9 ]', ' ', 'g')"
     if upto == "restricted":
         return text
-    text = f"array_to_string(list_transform(list_filter(string_split(upper({text}), ' '), lambda w: w <> ''), lambda w: coalesce(MAP {{{words}}}[w], w)), ' ')"
+    text = f"array_to_string(list_transform(list_filter(string_split(upper({text}), ' '), lambda w: w <> ''), lambda w: coalesce(MAP {_WORDS_SQL}[w], w)), ' ')"
     if upto == "substituted":
         return text
-    for pattern, into in names.REWRITES:
-        text = f"regexp_replace({text}, '{pattern}', '{into.replace('$', chr(92))}')"
+    for pattern, into in _REWRITES_SQL:
+        text = f"regexp_replace({text}, '{pattern}', '{into}')"
     return text if upto == "rewritten" else f"array_to_string(list_filter(string_split({text}, ' '), lambda w: w <> ''), ' ')"
 
 
@@ -239,30 +249,23 @@ def g2(spark, d):
     return _city_lines(spark, d).select("objectid", F.col("part").cast("long").alias("part"), geom.wkt_point(geom.first(F.col("pts"))).alias("point"), geom.wkt_linestring(geom.wkt_to_line(text)).alias("line"), F.size(geom.wkt_to_line(text)).cast("long").alias("points"))
 
 
-class _Text:
-    """An SQL expression that grows with arithmetic; stands in for Columns so the projection's formula becomes SQL."""
-
-    def __init__(self, text):
-        self.text = str(text)
-
-    def _with(self, op, other, swap=False):
-        a, b = (self.text, getattr(other, "text", repr(other) if isinstance(other, float) else str(other)))[:: -1 if swap else 1]
-        return _Text(f"({a} {op} {b})")
-
-    __add__, __radd__ = (lambda s, o: s._with("+", o)), (lambda s, o: s._with("+", o, True))
-    __sub__, __rsub__ = (lambda s, o: s._with("-", o)), (lambda s, o: s._with("-", o, True))
-    __mul__, __rmul__ = (lambda s, o: s._with("*", o)), (lambda s, o: s._with("*", o, True))
-    __truediv__, __rtruediv__ = (lambda s, o: s._with("/", o)), (lambda s, o: s._with("/", o, True))
-
-
-class _SqlFunctions:
-    def __getattr__(self, name):
-        return lambda *a: _Text(f"{name}({', '.join(getattr(v, 'text', repr(v)) for v in a)})")
-
-
-def _projected_sql(p: Projection) -> str:
-    x, y = p._forward(_Text("x"), _Text("y"), _SqlFunctions())
-    return f"SELECT jct_id, round({x.text}, 3) AS x, round({y.text}, 3) AS y FROM (SELECT DISTINCT jct_id, point.x AS x, point.y AS y FROM jcts WHERE point IS NOT NULL)"
+_PLACES = "SELECT DISTINCT jct_id, point.x AS lon, point.y AS lat FROM jcts WHERE point IS NOT NULL"
+# Eccentricity, rectifying radius and series coefficients of WGS 84, as published, to sixth order.
+_UTM_SQL = f"""
+WITH p AS (SELECT jct_id, radians(lon + 171) AS lam, radians(lat) AS phi, 0.0818191908426215e0 AS e FROM ({_PLACES})),
+t AS (SELECT jct_id, lam, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM p),
+g AS (SELECT jct_id, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM t),
+c AS (SELECT [8.377318206244698e-4, 7.608527773572489e-7, 1.197645503242492e-9, 2.429170680397309e-12, 5.711818370428e-15, 1.47999793137966e-17] AS a)
+SELECT jct_id, round(500000 + 0.9996e0 * 6367449.145823415e0 * (eta + list_sum(list_transform(range(1, 7), lambda j: a[j] * cos(2 * j * xi) * sinh(2 * j * eta)))), 3) AS x,
+  round(0.9996e0 * 6367449.145823415e0 * (xi + list_sum(list_transform(range(1, 7), lambda j: a[j] * sin(2 * j * xi) * cosh(2 * j * eta)))), 3) AS y FROM g, c"""
+_LCC_SQL = f"""
+WITH k AS (SELECT 6378137.0e0 AS a, 0.0818191910428158e0 AS e, radians(133e0 / 3) AS p1, radians(46) AS p2, radians(131e0 / 3) AS p0),
+m AS (SELECT a, e, cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) AS m1, cos(p2) / sqrt(1 - pow(e * sin(p2), 2)) AS m2,
+  tan(pi() / 4 - p1 / 2) / pow((1 - e * sin(p1)) / (1 + e * sin(p1)), e / 2) AS t1, tan(pi() / 4 - p2 / 2) / pow((1 - e * sin(p2)) / (1 + e * sin(p2)), e / 2) AS t2, tan(pi() / 4 - p0 / 2) / pow((1 - e * sin(p0)) / (1 + e * sin(p0)), e / 2) AS t0 FROM k),
+n AS (SELECT *, ln(m1 / m2) / ln(t1 / t2) AS n FROM m), f AS (SELECT *, m1 / (n * pow(t1, n)) AS f FROM n),
+p AS (SELECT jct_id, radians(lon + 170) AS lam, radians(lat) AS phi FROM ({_PLACES})),
+r AS (SELECT jct_id, n * lam AS theta, a * f * pow(tan(pi() / 4 - phi / 2) / pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2), n) AS rho, a * f * pow(t0, n) AS rho0 FROM p, f)
+SELECT jct_id, round(2500000 + rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y FROM r"""
 
 
 def _projected(spark, d, text):
@@ -271,12 +274,12 @@ def _projected(spark, d, text):
     return rows.select("jct_id", _r(p["x"]).alias("x"), _r(p["y"]).alias("y"))
 
 
-@query("ref_g16_g18_utm", _projected_sql(parse_proj4(UTM2)))
+@query("ref_g16_g18_utm", _UTM_SQL)
 def g16_utm(spark, d):
     return _projected(spark, d, UTM2)
 
 
-@query("ref_g16_g18_lcc", _projected_sql(parse_proj4(LCC)))
+@query("ref_g16_g18_lcc", _LCC_SQL)
 def g16_lcc(spark, d):
     return _projected(spark, d, LCC)
 
@@ -493,14 +496,20 @@ places AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) AS jct_id FROM en
 segs AS (SELECT k.seg_id, k.fullname, k.category, k.pts, a.jct_id AS from_jct, b.jct_id AS to_jct FROM kept k JOIN places a ON a.x = k.pts[1].x AND a.y = k.pts[1].y JOIN places b ON b.x = k.pts[-1].x AND b.y = k.pts[-1].y)"""
 
 
-@query("ref_p1_w1_j7_city_network", f"WITH {_CITY_NET} SELECT seg_id, from_jct, to_jct, category, {canonical_sql('fullname')} AS name, round({_LENGTH}, 3) AS length FROM segs")
-def p1(spark, d):
-    net = _city_network(spark, d)
-    plain = _city_lines(spark, d).where(F.col("category").isin("CONNECTOR", "HIGHWAY", "MAJOR", "MINOR", "PEDESTRIAN") & (F.size("pts") >= 2))
-    from wayweft.operators.ids import dense_ids
+# Names of a segment: the full name and the route of a highway, canonical, distinct, sorted.
+_OWN_NAMES = f"""
+own AS (SELECT *, string_split(fullname, ' ') AS w, category IN ('CONNECTOR', 'HIGHWAY') AS big FROM segs),
+listed AS (SELECT seg_id, from_jct, to_jct, CASE WHEN fullname IS NULL OR contains(fullname, 'UNNAMED') OR fullname = 'ALLEY' OR (fullname = 'TRAIL' AND category = 'PEDESTRIAN') OR (fullname = 'RAMP' AND category = 'CONNECTOR') THEN []
+  ELSE [fullname, CASE WHEN big AND len(w) > 1 AND w[1] LIKE 'I%' AND regexp_matches(substr(w[1], 2), '^[+]?0*[1-9][0-9]*$') THEN w[1] WHEN big AND len(w) > 1 AND w[1] = 'HWY' AND regexp_matches(w[2], '^[+]?0*[1-9][0-9]*$') THEN 'CA ' || w[2] END] END AS l FROM own),
+each AS (SELECT seg_id, from_jct, to_jct, unnest(l) AS name FROM listed),
+canon AS (SELECT DISTINCT seg_id, from_jct, to_jct, {canonical_sql('name')} AS name FROM each WHERE name IS NOT NULL)"""
 
-    named = dense_ids(plain.select("ord", "part", "fullname"), ["ord", "part"], "seg_id").select("seg_id", names.canonical(F.col("fullname")).alias("name"))
-    return net.segs.join(named, "seg_id").select("seg_id", "from_jct", "to_jct", F.element_at("tags", "CATEGORY").alias("category"), "name", _r(geom.length(F.col("pts"))).alias("length"))
+
+@query("ref_p1_w1_j7_city_network", f"""WITH {_CITY_NET}, {_OWN_NAMES}, n AS (SELECT seg_id, string_agg(name, ';' ORDER BY name) AS names FROM canon WHERE name <> '' GROUP BY seg_id)
+SELECT s.seg_id, s.from_jct, s.to_jct, s.category, coalesce(n.names, '') AS names, round({_LENGTH}, 3) AS length FROM segs s LEFT JOIN n USING (seg_id)""")
+def p1(spark, d):
+    segs = _city_network(spark, d).segs
+    return segs.select("seg_id", "from_jct", "to_jct", F.element_at("tags", "CATEGORY").alias("category"), F.array_join("names", ";").alias("names"), _r(geom.length(F.col("pts"))).alias("length"))
 
 
 _HALF = f"""
@@ -526,15 +535,27 @@ def a6(spark, d):
 
 
 @query("ref_a7_u2_u3_jct_names", f"""
-WITH {_CITY_NET}, n AS (SELECT from_jct AS jct_id, category AS c FROM segs UNION SELECT to_jct, category FROM segs) SELECT jct_id, array_to_string(list_sort(list(DISTINCT c)), ';') AS names FROM n GROUP BY jct_id""")
+WITH {_CITY_NET}, {_OWN_NAMES}, n AS (SELECT from_jct AS jct_id, name FROM canon UNION SELECT to_jct, name FROM canon) SELECT jct_id, string_agg(name, ';' ORDER BY name) AS names FROM n WHERE name <> '' GROUP BY jct_id""")
 def a7(spark, d):
-    segs = _city_network(spark, d).segs.withColumn("names", F.array(F.element_at("tags", "CATEGORY")))
-    return network.jct_names(segs).select("jct_id", F.array_join("names", ";").alias("names"))
+    return network.jct_names(_city_network(spark, d).segs).select("jct_id", F.array_join("names", ";").alias("names"))
 
 
-@query("ref_c1_check", f"WITH {_CITY_NET} SELECT 'repeated segment id' AS kind, seg_id AS id FROM segs GROUP BY seg_id HAVING count(*) > 1")
+@query("ref_c1_check", f"""
+WITH {_CITY_NET}, s AS (SELECT *, seg_id % 40 AS m FROM segs), j AS (SELECT *, jct_id % 40 AS m FROM places),
+hurt AS (SELECT seg_id, CASE WHEN m = 3 THEN -seg_id ELSE from_jct END AS from_jct, CASE WHEN m = 4 THEN -seg_id ELSE to_jct END AS to_jct, CASE WHEN m = 5 THEN {{'x': pts[1].x + 7, 'y': pts[1].y}} ELSE pts[1] END AS a, CASE WHEN m = 2 THEN pts[1] WHEN m = 6 THEN {{'x': pts[-1].x, 'y': pts[-1].y + 7}} ELSE pts[-1] END AS b, m FROM s),
+every AS (SELECT * FROM hurt UNION ALL SELECT * FROM hurt WHERE m = 1), spots AS (SELECT jct_id, x, y FROM j UNION ALL SELECT jct_id, x, y FROM j WHERE m = 7 UNION ALL SELECT -1000000000 - jct_id, x, y FROM j WHERE m = 8)
+SELECT 'short segment' AS kind, seg_id AS id FROM every WHERE m = 2 UNION ALL SELECT DISTINCT 'repeated segment id', seg_id FROM every WHERE m = 1 UNION ALL SELECT DISTINCT 'repeated junction id', jct_id FROM j WHERE m = 7
+UNION ALL SELECT 'from_jct missing', seg_id FROM every WHERE m = 3 UNION ALL SELECT 'to_jct missing', seg_id FROM every WHERE m = 4
+UNION ALL SELECT 'from_jct elsewhere', seg_id FROM every e JOIN spots p ON p.jct_id = e.from_jct WHERE p.x <> e.a.x OR p.y <> e.a.y UNION ALL SELECT 'to_jct elsewhere', seg_id FROM every e JOIN spots p ON p.jct_id = e.to_jct WHERE p.x <> e.b.x OR p.y <> e.b.y
+UNION ALL SELECT 'junction without segment', jct_id FROM spots p WHERE NOT EXISTS (SELECT 1 FROM every e WHERE e.from_jct = p.jct_id OR e.to_jct = p.jct_id)""")
 def c1(spark, d):
-    return network.check(_city_network(spark, d))
+    """All kinds of violations in a network that was damaged in each of these ways."""
+    net, m, pts = _city_network(spark, d), F.col("seg_id") % 40, F.col("pts")
+    moved = lambda p, x, y: F.array(geom.point(p["x"] + x, p["y"] + y))
+    bent = F.when(m == 5, F.concat(moved(geom.first(pts), 7, 0), F.slice(pts, F.lit(2), F.size(pts)))).when(m == 2, F.slice(pts, 1, 1)).when(m == 6, F.concat(F.slice(pts, F.lit(1), F.size(pts) - 1), moved(geom.last(pts), 0, 7))).otherwise(pts)
+    segs = net.segs.withColumns({"from_jct": F.when(m == 3, -F.col("seg_id")).otherwise(F.col("from_jct")), "to_jct": F.when(m == 4, -F.col("seg_id")).otherwise(F.col("to_jct")), "pts": bent})
+    more = net.jcts.where("jct_id % 40 = 7").unionByName(net.jcts.where("jct_id % 40 = 8").withColumn("jct_id", -1_000_000_000 - F.col("jct_id")))
+    return network.check(net.with_(segs=segs.unionByName(segs.where(m == 1)), jcts=net.jcts.unionByName(more)))
 
 
 @query("ref_p4_w3_split_segments", f"""
