@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayweft.functions import names
 from wayweft.operators import grid, ids, network, osm
 from wayweft.operators.network import Network
+from wayweft import cli
 from wayweft.plans import job
 from wayweft.sources import geojson, srs
 from wayweft.streaming import names as stream_names
@@ -171,6 +172,12 @@ def test_names_cross_check(spark, tmp_path):
     assert j.bbox == (x0 - 1000, y0 - 1000, x0 + 240 + 1000, y0 + 240 + 1000)
     with pytest.raises(ValueError):
         job.ConflationJob(spark, "Test", reference=system, units="feet", out_dir=str(tmp_path / "out"))
+    # The command line, and a folder that only the tasks write to.
+    assert cli.main(["cross-check", "--project", "Test", "--epsg", "32610", "--city", city, "--osm", answer, "--out", "file://" + str(tmp_path / "far"), "--no-export"], spark) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "far" / "name_mismatches.csv")).count() == 2
+    # Other rules of names: a word of the city's own.
+    own = job.ConflationJob(spark, "Test", reference=system, out_dir=str(tmp_path / "own"), city_geojson=city, osm_file=answer, export=False, config=names.DEFAULT.with_words({"BEE": "B", "BOULEVARD": "ST"}))
+    assert own.names_cross_check() == 1 and not (tmp_path / "own" / "city.pnwk.geojson").exists()
 
 
 # Streams

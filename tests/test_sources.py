@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayweft.operators import features
 from wayweft.operators.network import Network
-from wayweft.sources import fetch, geojson, osm_files, pbf, shapefile, srs, tables
+from wayweft.sources import fetch, geojson, networks, osm_files, pbf, shapefile, srs, tables
 
 FEATURES = [
     {"type": "Feature", "id": 5, "geometry": {"type": "LineString", "coordinates": [[10, 11, 3], [20, 21]]}, "properties": {"OBJECTID": 1, "name": "I80, \"E\"", "x": None}},
@@ -133,7 +133,7 @@ def test_pbf(spark, tmp_path):
 
     path = tmp_path / "a.osm.pbf"
     path.write_bytes(blob(b"OSMHeader", b"") + blob(b"OSMData", block) + blob(b"OSMData", block, False))
-    assert [k for _, _, k in pbf.blobs(str(path))] == ["OSMHeader", "OSMData", "OSMData"]
+    assert [k for _, _, k in pbf.blobs(str(path))] == ["OSMHeader", "OSMData", "OSMData"] == [k for _, _, k in pbf.blobs(path.as_uri())]
     data = osm_files.read_pbf(spark, str(path))
     assert [(r.way_id, r.tags, r.node_ids) for r in data.ways.collect()] == [(7, {"highway": "residential"}, [1, 2, 1])] * 2
     nodes = {r.node_id: (round(r.pt.x, 7), round(r.pt.y, 7), r.tags) for r in data.nodes.collect()}
@@ -205,11 +205,77 @@ def test_network_file(spark, tmp_path):
     geojson.write_network(Network(segs, jcts, "osm"), path)
     props = json.load(open(path + ".pnwk.geojson"))["features"][0]["properties"]
     assert props["osm_pnwk$name"] == "A;B ST" and props["osm$k"] == "v" and float(props["osm_pnwk$length"]) == 5 and "osm_pnwk$match_id" not in props
+    assert props["osm_pnwk$length"] == 5.0 and props["osm_pnwk$from_jct_id"] == 1 and isinstance(props["osm_pnwk$seg_id"], int) and props["osm_pnwk$from_bearing"] == pytest.approx(36.8698976)
+    jct = json.load(open(path + ".pnwk.geojson"))["features"][1]["properties"]
+    assert jct["osm_pnwk$seg_ids"] == [1] and jct["osm_pnwk$jct_id"] == 1 and "osm_pnwk$export_count" not in jct
     back = geojson.read_network(spark, path, "osm")
     assert [tuple(r) for r in back.segs.collect()] == [tuple(r) for r in segs.withColumn("names", F.array_sort("names")).collect()]
     assert sorted(map(str, back.jcts.collect())) == sorted(map(str, jcts.collect()))
 
 
+def test_kept_networks(spark, tmp_path):
+    """Tables between steps; the GeoJSON of a network that was not kept is read instead."""
+    segs = spark.createDataFrame([(1, 1, 2, [(0.0, 0.0), (3.0, 4.0)], ["A"], {"k": "v"})], "seg_id long, from_jct long, to_jct long, pts array<struct<x:double,y:double>>, names array<string>, tags map<string,string>")
+    jcts = spark.createDataFrame([(1, (0.0, 0.0), {}), (2, (3.0, 4.0), {})], "jct_id long, pt struct<x:double,y:double>, tags map<string,string>")
+    net, path = Network(segs, jcts, "osm"), str(tmp_path / "n")
+    assert networks.save(net, path).segs.collect() == segs.collect() == networks.load(spark, path, "osm").segs.collect()
+    networks.export(net, str(tmp_path / "other"))
+    assert networks.load(spark, str(tmp_path / "other"), "osm").segs.count() == 1
+    networks.export(net, "file://" + str(tmp_path / "many"))
+    assert geojson.read_features(spark, str(tmp_path / "many.pnwk.geojson"), lines=True).count() == 3
+
+
+def test_collection_by_lines(spark, tmp_path, rows):
+    """What write_features() lays out is read by many tasks, any other collection whole, with the same features."""
+    one, two = str(tmp_path / "a.geojson"), str(tmp_path / "b.geojson")
+    geojson.write_features(rows, one, "http://example.org/ref/")
+    json.dump(json.load(open(one)), open(two, "w"))
+    a, b = (geojson.read_features(spark, p).orderBy("ord").drop("ord") for p in (one, two))
+    plain = lambda df: [(r.feature_id, r.geom_type, r.parts, sorted(r.p.items())) for r in df.withColumn("p", geojson.string_props(F.col("props"))).collect()]
+    assert plain(a) == plain(b) and len(plain(a)) == 3 and "Generate" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_connectors(spark):
+    class Kept(tables.Jdbc):
+        def write(self, df, table):
+            held[table] = self.flat(df).collect()
+
+    held = {}
+    tables.CONNECTORS["kept"] = lambda spark, **o: Kept(spark, tables.jdbc_options("sqlite", **o))
+    to = tables.connect(spark, "kept", database="x.db")
+    df = spark.createDataFrame([(1, (1.0, 2.0), [(0.0, 0.0), (3.0, 4.0)], {"a": "b"})], "id int, p struct<x:double,y:double>, l array<struct<x:double,y:double>>, m map<string,string>")
+    to.write(df, "t")
+    assert tuple(held["t"][0]) == (1, "POINT (1.000000 2.000000)", "LINESTRING (0.000000 0.000000, 3.000000 4.000000)", '{"a":"b"}')
+    segs = spark.createDataFrame([(1, 1, 2, [(0.0, 0.0), (3.0, 4.0)], ["A"], {})], "seg_id long, from_jct long, to_jct long, pts array<struct<x:double,y:double>>, names array<string>, tags map<string,string>")
+    jcts = spark.createDataFrame([(1, (0.0, 0.0), {}), (2, (3.0, 4.0), {})], "jct_id long, pt struct<x:double,y:double>, tags map<string,string>")
+    tables.write_osm_tables(df, df, Network(segs, jcts, "n"), "n", to)
+    assert {k: len(v) for k, v in held.items()} == {"t": 1, "n_ways": 1, "n_nodes": 1, "n_pnwk_segs": 1, "n_pnwk_jcts": 2}
+    with pytest.raises(ValueError):
+        tables.connect(spark, "no such")
+
+
+@pytest.mark.parametrize("code", [32610, 32755, 26910, 2913, 2227, 4326])
+def test_wkt_of_known_systems(code):
+    """From the number to WKT and back to proj4: the same places."""
+    text = srs.epsg_to_wkt(code)
+    own, back = srs.parse_proj4(srs.epsg_to_proj4(code)), srs.parse_proj4(srs.wkt_to_proj4(text))
+    lon, lat = own.lon0 + 1.5, -38.0 if code == 32755 else 41.0
+    assert own.numbers(lon, lat) == pytest.approx(back.numbers(lon, lat), abs=1e-6)
+    assert srs.SRS(auth_name="EPSG", auth_srid=code).resolved().srtext == text and srs.epsg_to_wkt(1) is None
+
+
+def test_srs_from_a_site(tmp_path):
+    (tmp_path / "proj4").mkdir()
+    url = tmp_path.as_uri() + "/"
+    (tmp_path / "json").mkdir()
+    assert srs.SRS(url=url, units="meters").resolved().projection() is None  # the site does not answer
+    site = {"esriwkt/": srs.epsg_to_wkt(32610), "proj4/": "+proj=utm +zone=10 +datum=WGS84 +units=m", "json/": "{'type': 'EPSG', 'properties': {'code': 32610}}"}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(srs.fetch, "get_url", lambda u: (site[u[len(url):]].encode(), {}))
+        s = srs.SRS(url=url).resolved()
+    assert (s.auth_name, s.auth_srid, s.postgis_srid) == ("EPSG", 32610, 832610) and s.projection().numbers(-123, 0)[0] == pytest.approx(500_000)
+
+
 def test_srs(tmp_path):
     s = srs.SRS(auth_name="EPSG", auth_srid=32610).resolved()
     assert s.postgis_srid == s.spatialite_srid == 832610 and s.units == "meters" and "+zone=10" in s.proj4text and "auth_srid: 32610" in s.info()

@@ -117,14 +117,14 @@ def prepare(ways: DataFrame, nodes: DataFrame, projection: Projection | None = N
     return OsmData(ways, vacuum(nodes, ways))
 
 
-def create_path_network(data: OsmData, seg_props: Sequence[str] | None = None, jct_props: Sequence[str] | None = None):
+def create_path_network(data: OsmData, seg_props: Sequence[str] | None = None, jct_props: Sequence[str] | None = None, config: names.CanonConfig = names.DEFAULT):
     """(segs, jcts) of OSM data: segments between shared nodes, numbered by way and position, with canonical names."""
     parts = split_at_junctions(data.ways)
     lines = with_points(parts, data.nodes, ["way_id", "idx"]).where(F.size("pts") >= 2)
     tags = F.col("tags") if seg_props is None else maps.only_keys(F.col("tags"), seg_props)
     segs = dense_ids(lines, ["way_id", "idx"], "seg_id").select(
         "seg_id", F.element_at("node_ids", 1).alias("from_jct"), F.element_at("node_ids", -1).alias("to_jct"), "pts",
-        names.canonical_names(names.osm_names(F.col("tags"))).alias("names"), maps.merge(tags, F.create_map(F.lit("way_id"), F.col("way_id").cast("string"))).alias("tags"),
+        names.canonical_names(names.osm_names(F.col("tags")), config).alias("names"), maps.merge(tags, F.create_map(F.lit("way_id"), F.col("way_id").cast("string"))).alias("tags"),
     )
     ends = segs.select(F.explode(F.array("from_jct", "to_jct")).alias("jct_id")).distinct()
     node_tags = F.col("tags") if jct_props is None else maps.only_keys(F.col("tags"), jct_props)

@@ -12,6 +12,10 @@ from wayweft.functions import geom, maps, names
 from wayweft.operators.network import Network
 
 
+#: First line of a collection that has each feature on a line of its own.
+HEAD = '{"type": "FeatureCollection",'
+
+
 def _rows(feature: DataFrame) -> DataFrame:
     """ord, f (variant) to feature rows; coordinates are read by the geometry's own type, so wrong shapes give nulls."""
     kind = F.try_variant_get("f", "$.geometry.type", "string")
@@ -29,11 +33,16 @@ def _rows(feature: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Features of FeatureCollection files, or with lines=True of files with one feature a line, which split over tasks.
 
-    ord numbers the features: in a collection by position, otherwise in the order of files and lines.
+    A collection that has each feature on a line of its own, as write_features() lays them out, is split over tasks as
+    well; any other is one row of one task. ord orders the features: in a collection that is read whole by position,
+    otherwise by files and lines.
     """
     if lines:
-        raw = spark.read.text(path).where("length(trim(value)) > 0").select(F.monotonically_increasing_id().alias("ord"), F.try_parse_json(F.regexp_replace("value", "^\x1e", "")).alias("f"))
-        return _rows(raw.where("f IS NOT NULL"))
+        raw = spark.read.text(path).where("length(trim(value)) > 0").select(F.monotonically_increasing_id().alias("ord"), F.try_parse_json(F.regexp_replace("value", "^\x1e|,\\s*$", "")).alias("f"))
+        return _rows(raw.where(F.try_variant_get("f", "$.type", "string") == "Feature"))
+    head = spark.read.text(path).limit(1).first()
+    if head and head.value.strip() == HEAD:
+        return read_features(spark, path, lines=True)
     doc = spark.read.option("multiLine", True).schema("features array<variant>").json(path)
     return _rows(doc.select(F.posexplode("features").alias("ord", "f")).withColumn("ord", F.col("ord").cast("long")))
 
@@ -82,7 +91,7 @@ def write_features(features: DataFrame, path: str, srs_url: str | None = None) -
     """One FeatureCollection file on the driver, fed a feature at a time in order of ord; returns how many."""
     n = 0
     with open(path, "w", encoding="utf-8") as f:
-        f.write('{"type": "FeatureCollection",\n')
+        f.write(HEAD + "\n")
         if srs_url:
             f.write(f'"crs": {json.dumps(crs_block(srs_url))},\n')
         f.write('"features": [\n')
@@ -99,28 +108,30 @@ def write_feature_lines(features: DataFrame, path: str) -> None:
 
 
 def network_features(net: Network) -> DataFrame:
-    """Segments, then junctions, as features with namespaced keys."""
+    """Segments, then junctions, as features with namespaced keys; the network's own values keep their types."""
     own = maps.network_namespace(net.name)
     segs, jcts = net.segs, net.jcts
     has = lambda df, c: F.col(c) if c in df.columns else F.lit(None)
+    number = lambda v, kind="bigint": v.cast(kind).cast("variant")
 
     def props(tags: Column, values: dict[str, Column]) -> Column:
-        pairs = F.filter(F.array(*[F.struct(F.lit(own + k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]), lambda e: e["value"].isNotNull())
-        return maps.merge(maps.add_prefix(tags, maps.namespace(net.name)), F.map_from_entries(pairs))
+        typed = F.array(*[F.struct(F.lit(own + k).alias("key"), v.alias("value")) for k, v in values.items()])
+        pairs = F.filter(typed, lambda e: e["value"].isNotNull())
+        return maps.merge(F.transform_values(maps.add_prefix(tags, maps.namespace(net.name)), lambda _, v: v.cast("variant")), F.map_from_entries(pairs))
 
     name = F.when(F.size("names") > 0, F.array_join(F.array_sort("names"), ";"))
     s = segs.select(
         F.lit(0).alias("kind"), F.col("seg_id").alias("feature_id"), F.lit("LineString").alias("geom_type"), F.array("pts").alias("parts"),
         props(F.col("tags"), {
-            "match_id": has(segs, "match_id"), "match_rev": F.when(has(segs, "match_id").isNotNull(), has(segs, "match_rev")), "seg_id": F.col("seg_id"), "length": geom.length(F.col("pts")),
-            "from_bearing": geom.from_bearing(F.col("pts")), "to_bearing": geom.to_bearing(F.col("pts")), "from_jct_id": F.col("from_jct"), "to_jct_id": F.col("to_jct"), "name": name,
+            "match_id": number(has(segs, "match_id")), "match_rev": number(F.when(has(segs, "match_id").isNotNull(), has(segs, "match_rev"))), "seg_id": number(F.col("seg_id")), "length": number(geom.length(F.col("pts")), "double"),
+            "from_bearing": number(geom.from_bearing(F.col("pts")), "double"), "to_bearing": number(geom.to_bearing(F.col("pts")), "double"), "from_jct_id": number(F.col("from_jct")), "to_jct_id": number(F.col("to_jct")), "name": name.cast("variant"),
         }).alias("props"),
     )
     from wayweft.operators.network import jct_segments
 
     j = jcts.join(jct_segments(segs), "jct_id", "left").select(
         F.lit(1).alias("kind"), F.col("jct_id").alias("feature_id"), F.lit("Point").alias("geom_type"), F.array(F.array("pt")).alias("parts"),
-        props(F.col("tags"), {"jct_id": F.col("jct_id"), "seg_ids": F.to_json("seg_ids"), "match_id": has(jcts, "match_id"), "import_src_id": has(jcts, "import_src_id"), "export_count": has(jcts, "export_count")}).alias("props"),
+        props(F.col("tags"), {"jct_id": number(F.col("jct_id")), "seg_ids": F.to_variant_object("seg_ids"), **{c: number(has(jcts, c)) for c in ("match_id", "import_src_id", "export_count")}}).alias("props"),
     )
     return s.unionByName(j).withColumn("ord", F.struct("kind", "feature_id")).drop("kind")
 
@@ -130,7 +141,7 @@ def write_network(net: Network, path: str, srs_url: str | None = None) -> int:
     return write_features(network_features(net), path if path.endswith(".geojson") else path + ".pnwk.geojson", srs_url)
 
 
-def read_network(spark: SparkSession, path: str, name: str, units: str = "meters") -> Network:
+def read_network(spark: SparkSession, path: str, name: str, units: str = "meters", config: names.CanonConfig = names.DEFAULT) -> Network:
     """A network from its file: points are junctions, lines segments; the network's own keys become columns again and
     the client's keys lose their prefix; names are split at ';'."""
     rows = read_features(spark, path if path.endswith(".geojson") else path + ".pnwk.geojson").withColumn("props", string_props(F.col("props")))
@@ -138,7 +149,7 @@ def read_network(spark: SparkSession, path: str, name: str, units: str = "meters
     value = lambda k, t="bigint": F.element_at("props", own + k).cast(t)
     tags = F.transform_keys(maps.drop_prefix(F.col("props"), own), lambda k, _: F.when(k.startswith(client), F.substring(k, F.lit(len(client) + 1), F.length(k))).otherwise(k))
     line = rows.where("geom_type = 'LineString'")
-    segs = line.select(F.coalesce(value("seg_id"), F.col("feature_id")).alias("seg_id"), value("from_jct_id").alias("from_jct"), value("to_jct_id").alias("to_jct"), F.col("parts")[0].alias("pts"), names.canonical_names(F.coalesce(F.split(value("name", "string"), ";"), F.array().cast("array<string>"))).alias("names"), tags.alias("tags"))
+    segs = line.select(F.coalesce(value("seg_id"), F.col("feature_id")).alias("seg_id"), value("from_jct_id").alias("from_jct"), value("to_jct_id").alias("to_jct"), F.col("parts")[0].alias("pts"), names.canonical_names(F.coalesce(F.split(value("name", "string"), ";"), F.array().cast("array<string>")), config).alias("names"), tags.alias("tags"))
     jcts = rows.where("geom_type = 'Point'").select(F.coalesce(value("jct_id"), F.col("feature_id")).alias("jct_id"), F.col("parts")[0][0].alias("pt"), tags.alias("tags"))
     return Network(segs, jcts, name, units)
 
