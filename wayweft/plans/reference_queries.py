@@ -6,6 +6,7 @@ Keys carry the operator ids of the inventory. Planar coordinates are local metre
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from wayweft.functions import geom, maps, names
 from wayweft.functions.projection import parse_proj4
 from wayweft.operators import features, grid, matching, network, osm, scoring
 from wayweft.operators.network import Network
-from wayweft.runtime import shared_path, table
-from wayweft.sources import geojson, osm_files, tables
+from wayweft.runtime import materialise, shared_path, table
+from wayweft.sources import geojson, osm_files, srs, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -672,12 +673,29 @@ def s6_elements(spark, d):
     return nodes.unionByName(ways).distinct()
 
 
-# Round trips through files, in the shared folder
+# Round trips through files and tables, in the shared folder
+
+
+def _local(path: str) -> str:
+    """A path of the shared folder for sinks that write on the driver."""
+    return path.removeprefix("file:")
 
 
 @query("ref_s1_k1_geojson_round_trip", f"""
 WITH {_CITY} SELECT objectid, part, fullname AS name, len(pts) AS points, round({_LENGTH}, 3) AS length FROM city""")
 def s1(spark, d):
+    """One collection written on the driver and read back by lines."""
+    rows = _city(spark, d).select(F.col("objectid").alias("ord"), F.col("objectid").alias("feature_id"), "geom_type", "parts", "props")
+    path = shared_path(spark, "geojson")
+    geojson.write_features(rows, _local(path), "http://example.org/ref/")
+    back = network.line_parts(geojson.read_features(spark, path))
+    return back.select(F.col("feature_id").alias("objectid"), F.col("part").cast("long").alias("part"), features.text_of(F.col("props"), "FULLNAME").alias("name"), F.size("pts").cast("long").alias("points"), _r(geom.length(F.col("pts"))).alias("length"))
+
+
+@query("ref_s1_k1_geojson_lines", f"""
+WITH {_CITY} SELECT objectid, part, fullname AS name, len(pts) AS points, round({_LENGTH}, 3) AS length FROM city""")
+def s1_lines(spark, d):
+    """Features written and read by the tasks."""
     rows = _city(spark, d).select(F.col("objectid").alias("ord"), F.col("objectid").alias("feature_id"), "geom_type", "parts", "props")
     path = shared_path(spark, "geojson")
     geojson.write_feature_lines(rows, path)
@@ -685,28 +703,106 @@ def s1(spark, d):
     return back.select(F.col("feature_id").alias("objectid"), F.col("part").cast("long").alias("part"), features.text_of(F.col("props"), "FULLNAME").alias("name"), F.size("pts").cast("long").alias("points"), _r(geom.length(F.col("pts"))).alias("length"))
 
 
-@query("ref_s4_osm_xml_round_trip", f"WITH {_WAYS} SELECT way_id, array_to_string(node_ids, ',') AS node_ids, tags['name'] AS name FROM ways")
+@query("ref_s3_k3_k4_network_file", f"""
+WITH {_CITY_NET}, {_OWN_NAMES}, n AS (SELECT seg_id, string_agg(name, ';' ORDER BY name) AS names FROM canon WHERE name <> '' GROUP BY seg_id)
+SELECT 'segment' AS kind, s.seg_id AS id, s.from_jct, s.to_jct, s.category, coalesce(n.names, '') AS names, round({_LENGTH}, 3) AS length FROM segs s LEFT JOIN n USING (seg_id)
+UNION ALL SELECT 'junction', jct_id, NULL, NULL, NULL, NULL, round(x + y, 3) FROM places""")
+def s3(spark, d):
+    """A network written to its file and read back: segments and junctions."""
+    path = shared_path(spark, "network")
+    geojson.write_network(_city_network(spark, d), _local(path))
+    net = geojson.read_network(spark, path, "city")
+    none = lambda t: F.lit(None).cast(t)
+    segs = net.segs.select(F.lit("segment").alias("kind"), F.col("seg_id").alias("id"), "from_jct", "to_jct", F.element_at("tags", "CATEGORY").alias("category"), F.array_join("names", ";").alias("names"), _r(geom.length(F.col("pts"))).alias("length"))
+    return segs.unionByName(net.jcts.select(F.lit("junction").alias("kind"), F.col("jct_id").alias("id"), none("bigint").alias("from_jct"), none("bigint").alias("to_jct"), none("string").alias("category"), none("string").alias("names"), _r(F.col("pt.x") + F.col("pt.y")).alias("length")))
+
+
+@query("ref_s4_osm_xml_round_trip", f"""
+WITH {_WAYS}, {_NODES} SELECT 'way' AS kind, way_id AS id, array_to_string(node_ids, ',') AS node_ids, tags['name'] AS name, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM ways
+UNION ALL SELECT 'node', node_id, NULL, tags['name'], round(x, 1), round(y, 1) FROM nodes""")
 def s4(spark, d):
-    """Ways written as XML and read back by the XML scan."""
+    """Ways and nodes written as XML and read back by the XML scan."""
     path = shared_path(spark, "xml")
-    nd = F.transform("node_ids", lambda n: F.struct(F.lit(None).cast("string").alias("_VALUE"), n.alias("_ref")))
     tag = F.transform(F.map_entries("tags"), lambda e: F.struct(F.lit(None).cast("string").alias("_VALUE"), e["key"].alias("_k"), e["value"].alias("_v")))
-    _ways(spark, d).select(F.col("way_id").alias("_id"), nd.alias("nd"), tag.alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "way").save(path)
-    return osm_files.read_xml(spark, path).ways.select("way_id", _ids("node_ids").alias("node_ids"), F.element_at("tags", "name").alias("name"))
+    nd = F.transform("node_ids", lambda n: F.struct(F.lit(None).cast("string").alias("_VALUE"), n.alias("_ref")))
+    _ways(spark, d).select(F.col("way_id").alias("_id"), nd.alias("nd"), tag.alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "way").save(path + "/ways")
+    _nodes(spark, d).select(F.col("node_id").alias("_id"), F.col("pt.y").alias("_lat"), F.col("pt.x").alias("_lon"), tag.alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path + "/nodes")
+    none = F.lit(None).cast("double")
+    ways = osm_files.read_xml(spark, path + "/ways").ways.select(F.lit("way").alias("kind"), F.col("way_id").alias("id"), _ids("node_ids").alias("node_ids"), F.element_at("tags", "name").alias("name"), none.alias("x"), none.alias("y"))
+    nodes = osm_files.read_xml(spark, path + "/nodes").nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("string").alias("node_ids"), F.element_at("tags", "name").alias("name"), _r(F.col("pt.x"), 1).alias("x"), _r(F.col("pt.y"), 1).alias("y"))
+    return ways.unionByName(nodes)
+
+
+@query("ref_k5_osm_features", f"""
+WITH {_PREPARED}, n AS (SELECT way_id, count(*) AS points FROM (SELECT way_id, unnest(node_ids) AS node_id FROM clean) JOIN nodes USING (node_id) GROUP BY 1)
+SELECT 'LineString' AS geom_type, way_id AS id, points, w.tags['name'] AS name FROM n JOIN ways w USING (way_id) UNION ALL SELECT 'Point', node_id, 1, tags['name'] FROM nodes WHERE cardinality(tags) > 0 OR node_id IN (SELECT unnest(node_ids) FROM clean)""")
+def k5(spark, d):
+    """OSM ways and nodes as GeoJSON, written and read."""
+    data = _prepared(spark, d)
+    path = shared_path(spark, "geojson")
+    geojson.write_feature_lines(geojson.osm_features(data.ways, data.nodes), path)
+    back = geojson.read_features(spark, path, lines=True)
+    return back.select("geom_type", F.col("feature_id").alias("id"), F.size(F.flatten("parts")).cast("long").alias("points"), features.text_of(F.col("props"), "name").alias("name"))
 
 
 @query("ref_s10_k6_csv_round_trip", "SELECT DISTINCT objectid, coalesce(prefix, '') AS prefix, coalesce(streetname, '') AS streetname, coalesce(ftype, '') AS ftype FROM rlis_streets")
 def s10(spark, d):
+    """The report sink with its title, and the scan of what it wrote."""
     columns = ["objectid", "prefix", "streetname", "ftype"]
-    path = shared_path(spark, "csv")
-    tables.write_csv_files(table(spark, d, "rlis_streets").select("objectid", *[F.coalesce(c, F.lit("")).alias(c) for c in columns[1:]]).distinct(), path)
-    back = tables.read_csv(spark, path, len(columns)).where("c0 <> 'objectid'")
-    return back.select(F.col("c0").cast("long").alias("objectid"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns[1:], 1)])
+    path = shared_path(spark, "csv") + ".csv"
+    tables.write_report(table(spark, d, "rlis_streets").select(columns).distinct().orderBy("objectid", "streetname"), _local(path), title=f"streets (generated: {tables.stamp()})")
+    back = tables.read_csv(spark, path, len(columns)).where("c0 <> 'objectid' AND NOT startswith(c0, 'streets (generated')")
+    return back.select(F.col("c0").cast("long").alias("objectid"), *[F.coalesce(f"c{i}", F.lit("")).alias(c) for i, c in enumerate(columns[1:], 1)])
+
+
+def _kept(spark: SparkSession, names: list[str]) -> list[DataFrame]:
+    """Tables of the catalog as frames that stay when the tables go."""
+    out = [materialise(spark.table(n), "table") for n in names]
+    for n in names:
+        tables.drop_table(spark, n)
+    return out
 
 
-@query("ref_k9_k10_network_tables", f"WITH {_CITY_NET} SELECT seg_id, from_jct, to_jct FROM segs")
+@query("ref_k9_k10_network_tables", f"""
+WITH {_CITY_NET} SELECT 'segment' AS kind, seg_id AS id, from_jct, to_jct, category, len(pts) AS points FROM segs UNION ALL SELECT 'junction', jct_id, NULL, NULL, NULL, 1 FROM places UNION ALL SELECT 'geo', objectid, NULL, NULL, category, len(pts) FROM city WHERE part = 0 AND objectid IN (SELECT objectid FROM multi WHERE geometry->>'type' = 'LineString')""")
 def k9(spark, d):
-    """The network's rows as the table sink lays them out."""
-    rows = geojson.network_features(_city_network(spark, d)).where("geom_type = 'LineString'")
-    own = maps.network_namespace("city")
-    return rows.select(F.col("feature_id").alias("seg_id"), *[F.element_at("props", f"{own}{c}_id").cast("long").alias(c) for c in ("from_jct", "to_jct")])
+    """The network's tables and a table of features with inferred columns, written to the catalog and read back."""
+    name = f"t{uuid.uuid4().hex}"
+    tables.write_network(_city_network(spark, d, name), name)
+    rows = _city(spark, d).withColumn("props", F.transform_values(F.map_concat("props", F.create_map(F.lit("OBJECTID"), F.col("objectid").cast("string"))), lambda _, v: v.cast("variant")))
+    tables.write_geo(rows, f"{name}_geo", "LineString", [("OBJECTID", "BIGINT", "OBJECTID"), ("CATEGORY", "TEXT", "CATEGORY"), ("geometry", "LINESTRING", "geometry")])
+    segs, jcts, geo = _kept(spark, [f"{name}_pnwk_segs", f"{name}_pnwk_jcts", f"{name}_geo"])
+    own = maps.network_namespace(name)
+    none, at = F.lit(None).cast("long"), lambda k: F.element_at("props", k)
+    one = segs.select(F.lit("segment").alias("kind"), "id", *[at(f"{own}{c}_id").cast("long").alias(c) for c in ("from_jct", "to_jct")], at(f"{name}$CATEGORY").alias("category"), F.size("geometry").cast("long").alias("points"))
+    two = jcts.select(F.lit("junction").alias("kind"), "id", none.alias("from_jct"), none.alias("to_jct"), F.lit(None).cast("string").alias("category"), F.lit(1).cast("long").alias("points"))
+    return one.unionByName(two).unionByName(geo.select(F.lit("geo").alias("kind"), F.col("OBJECTID").alias("id"), none.alias("from_jct"), none.alias("to_jct"), F.col("CATEGORY").alias("category"), F.size("geometry").cast("long").alias("points")))
+
+
+@query("ref_k12_j15_srs_rows", "SELECT * FROM (VALUES (832610, 'EPSG', 32610), (832611, 'EPSG', 32611), (802913, 'EPSG', 2913)) t(srid, auth_name, auth_srid)")
+def k12(spark, d):
+    """Rows of the table of reference systems: each is added once, incomplete ones never."""
+    name = f"srs_{uuid.uuid4().hex}"
+    for code in (32610, 32611, 2913, 32610):
+        s = srs.SRS(auth_name="EPSG", auth_srid=code).resolved()
+        tables.add_spatial_ref_sys(spark, s.postgis_srid, s.auth_name, s.auth_srid, s.srtext, s.proj4text, name)
+    tables.add_spatial_ref_sys(spark, 1, None, 1, "", "", name)
+    return _kept(spark, [name])[0].select("srid", "auth_name", "auth_srid")
+
+
+@query("ref_s11_s15_select", "SELECT objectid, upper(fullname) AS name FROM centerline WHERE category = 'MAJOR' AND objectid > (SELECT avg(objectid) FROM centerline) GROUP BY ALL")
+def s11(spark, d):
+    """Selection from a table, and SQL with bound values."""
+    name = f"c{uuid.uuid4().hex}"
+    table(spark, d, "centerline").createOrReplaceTempView(name)
+    low = tables.exec_sql(spark, f"SELECT avg(objectid) AS a FROM {name} WHERE objectid > :least", {"least": -1}).first().a
+    return tables.select(spark, ["objectid", "upper(fullname) AS name"], name, f"category = 'MAJOR' AND objectid > {low}").distinct()
+
+
+@query("ref_x6_own_name_rules", f"""WITH {_CITY_NET}
+SELECT seg_id, coalesce(lower(array_to_string(list_filter(string_split(regexp_replace(fullname, '[^A-Za-z ]', ' ', 'g'), ' '), lambda w: w <> '' AND lower(w) NOT IN ('st', 'street', 'ave', 'avenue')), ' ')), '') AS name FROM segs""")
+def x6(spark, d):
+    """A network whose names follow other rules: letters only, no street types."""
+    rules = names.CanonConfig(allowed="A-Za-z ", ignored="", words={"ST": "", "STREET": "", "AVE": "", "AVENUE": ""}, rewrites=())
+    segs = network.from_centerlines(_city(spark, d), lambda p: F.array("fullname"), F.col("category").isin("CONNECTOR", "HIGHWAY", "MAJOR", "MINOR", "PEDESTRIAN"), config=rules).segs
+    return segs.select("seg_id", F.lower(F.array_join("names", ";")).alias("name"))
