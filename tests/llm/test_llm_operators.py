@@ -100,6 +100,19 @@ def test_corpus_round_trip(spark):
     assert enc.limit(0).count() == 0 and bpe.encode_corpus(df.limit(0), ["doc_id"], "text", VOCABULARY).count() == 0
 
 
+@needs_vocabulary
+def test_the_vocabulary_travels_with_the_job(spark, tmp_path):
+    """Workers read the copy that came with the job, wherever the driver had it."""
+    import shutil
+
+    own = str(tmp_path / "own.tiktoken")
+    shutil.copy(VOCABULARY, own)
+    enc = bpe.encode_corpus(spark.createDataFrame([(1, "A b")], "doc_id long, text string"), ["doc_id"], "text", own)
+    assert enc.first().ids == ids("A b")
+    os.remove(own)
+    assert enc.first().ids == ids("A b")
+
+
 @needs_vocabulary
 def test_bytes_that_are_no_text(spark):
     df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text")
@@ -218,6 +231,11 @@ def test_repetitive_documents(spark):
     assert got[3].share is None and got[4].share == 0 and got[5].n_letters == 0 and got[2].share == 0 and got[1].share == pytest.approx(0.9)
     assert repetition.repetitive(df.limit(0), ["doc_id"], "text").count() == 0
     assert [r.doc_id for r in repetition.repetitive(df, ["doc_id"], "text", share_limit=2.0, longest_limit=1_000_000).collect()] == [8]
+    over = {(r.doc_id, r.over_share, r.over_longest) for r in repetition.over_limits(df, ["doc_id"], "text", longest_limit=10_000).collect()}
+    assert over == {(1, True, False), (7, True, False), (8, True, True)}
+    once = "a quite long sentence without any repeated part in it " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    long = spark.createDataFrame([(1, once + " the end " + once[: len(once) // 4])], "doc_id long, text string")
+    assert [(r.over_share, r.over_longest) for r in repetition.over_limits(long, ["doc_id"], "text", longest_limit=200).collect()] == [(False, True)]
 
 
 # Entity matching

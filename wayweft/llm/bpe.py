@@ -17,13 +17,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayweft.runtime import ship
 
-#: Where the vocabulary files lie unless the caller says otherwise.
+#: Where the vocabulary files lie unless the caller says otherwise: on the driver, or a URI; executors get them with the job.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces remembered by a worker, and the longest that is remembered, in characters.
 CACHE_PIECES = 400_000
@@ -165,6 +166,18 @@ def load(path: str = VOCABULARY) -> _Pieces:
     return _loaded[path]
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary to all executors once per application; returns the name under which workers find it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+    return os.path.basename(path)
+
+
 def encode_text(text: str, pieces: _Pieces) -> bytes:
     """The ids of a text as little-endian int32 bytes."""
     if len(pieces) > CACHE_PIECES:
@@ -185,10 +198,11 @@ def encode_corpus(df: DataFrame, keys: Sequence[str], text: str, vocabulary: str
     that repeat are repeated; other columns are ignored. No shuffle: every task encodes the rows it reads.
     """
     rows, fields = _own(df, keys, text)
+    name = _send(df.sparkSession, vocabulary)
     out = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(vocabulary)
+        pieces = load(SparkFiles.get(name))
         for b in batches:
             texts, start, found, size = b.column(len(keys)), 0, [], 0
 
@@ -216,10 +230,11 @@ def encode_corpus(df: DataFrame, keys: Sequence[str], text: str, vocabulary: str
 def count_tokens(df: DataFrame, keys: Sequence[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """keys, n_tokens bigint: as encode_corpus(), but only how many ids each text has; null and empty texts have 0."""
     rows, fields = _own(df, keys, text)
+    name = _send(df.sparkSession, vocabulary)
     out = T.StructType([*fields, T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(vocabulary)
+        pieces = load(SparkFiles.get(name))
         for b in batches:
             n = [len(encode_text(raw.decode("utf-8", "replace"), pieces)) // 4 if (raw := t.as_py()) else 0 for t in b.column(len(keys))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(n, pa.int64())], names=out.names)
@@ -230,12 +245,13 @@ def count_tokens(df: DataFrame, keys: Sequence[str], text: str, vocabulary: str
 def decode_corpus(df: DataFrame, keys: Sequence[str], ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """keys, text: the texts that encode_corpus() encoded; null ids give null, an empty list an empty text."""
     ship(df.sparkSession)
+    name = _send(df.sparkSession, vocabulary)
     cols = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     fields = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
     out = T.StructType([*fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load(vocabulary).encode.__self__.decode
+        decode = load(SparkFiles.get(name)).encode.__self__.decode
         for b in batches:
             texts = [None if (x := v.as_py()) is None else decode(x).decode("utf-8", "replace") for v in b.column(len(keys))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(texts, pa.string())], names=out.names)

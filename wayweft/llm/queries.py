@@ -25,11 +25,23 @@ def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     return _streets(spark, d)
 
 
+def p6_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs where every line has one counterpart at most, with their confidence."""
+    found = entity_match.match_streets(table(spark, d, "centerline"), table(spark, d, "osm_lines"), one_to_one=True)
+    return found.where(F.col("confidence") >= entity_match.MATCH)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"), ["doc_id"], "text")
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again, as a digest."""
+    encoded = bpe.encode_corpus(table(spark, d, "documents"), ["doc_id"], "text")
+    return bpe.decode_corpus(encoded, ["doc_id"], "ids").select("doc_id", F.md5("text").alias("digest"))
+
+
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
     sized = bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text").withColumnRenamed("doc_id", "id")
     return mixing.mix_sources(sized, table(spark, d, "mix_targets"))
@@ -55,6 +67,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_matches, p7_ids, p8_mix, p8_shares, p9_found, p9_shares)}
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that break the limit of the repeated share or that of the longest repeat."""
+    return repetition.over_limits(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_matches, p6_one_to_one, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_shares, p9_limits)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p7_decoded": "SELECT doc_id, md5(text) AS digest FROM documents"}

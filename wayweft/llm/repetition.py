@@ -27,6 +27,8 @@ from wayweft.runtime import ship
 LEAST_WEIGHT, WORD_WEIGHT, CHAR_WEIGHT = 10, 2, 1
 #: A document is repetitive from this share on.
 SHARE_LIMIT = 0.4
+#: A single repeat of more letters than this is too long for over_limits().
+LONGEST_LIMIT = 400
 #: Units that are put into one suffix array; a longer document has one of its own.
 BLOCK_UNITS = 400_000
 
@@ -198,3 +200,9 @@ def repetitive(df: DataFrame, keys: Sequence[str], text: str, share_limit: float
     if longest_limit is not None:
         over = over | (F.col("longest_repeat") > longest_limit)
     return repetition(df, keys, text).where(over).select(*keys).distinct()
+
+
+def over_limits(df: DataFrame, keys: Sequence[str], text: str, share_limit: float = SHARE_LIMIT, longest_limit: int = LONGEST_LIMIT) -> DataFrame:
+    """keys, share, longest_repeat, over_share, over_longest of the rows that break either limit; null texts break none."""
+    rows = repetition(df, keys, text).withColumns({"over_share": F.col("share") >= share_limit, "over_longest": F.col("longest_repeat") > longest_limit})
+    return rows.where("over_share OR over_longest").select(*keys, "share", "longest_repeat", "over_share", "over_longest")
