@@ -50,7 +50,10 @@ def test_changes_of_dirty_snapshots(spark):
     assert changes(snap(spark, [])) == []
 
 
-def test_changes_equal_brute_force(spark):
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_changes_equal_brute_force(spark, monkeypatch, ranges):
+    monkeypatch.setattr(snapshots, "RANGE_ROWS", 10_000 if ranges == 1 else 60)
+    monkeypatch.setattr(snapshots, "BATCH_ROWS", 5)
     rng = random.Random(1)
     days = [date(2023, m, 1) for m in (1, 2, 4, 9)]
     rows = [(d, i, [("k", rng.choice("ab"))], T0, "", 0) for d in days for i in range(60) if rng.random() < 0.7] + [(days[0], 7, [("k", "a")], T0, "", 0)] * 300
@@ -71,6 +74,35 @@ def test_changed_columns_are_typed(spark):
     assert [(r.change_kind, r.changed_columns) for r in got] == [("changed", ["n"]), ("changed", ["n", "t"])]
 
 
+def test_snapshots_are_kept_and_appended(spark, tmp_path, monkeypatch):
+    """Two keys, several ranges: a later delivery is compared with its neighbours only, and gives what all at once gives."""
+    monkeypatch.setattr(snapshots, "RANGE_ROWS", 40)
+    monkeypatch.setattr(snapshots, "BATCH_ROWS", 7)
+    rng = random.Random(2)
+    days = [date(2023, m, 1) for m in (1, 2, 3, 4)]
+    rows = [(d, f"k{i % 13}", i, rng.choice("ab"), rng.choice([None, 1]), T0) for d in days for i in range(90) if rng.random() < 0.7]
+    make = lambda some: spark.createDataFrame([r for r in rows if r[0] in some], "day date, name string, no long, a string, b int, at timestamp")
+    compare = {"a": F.col("a"), "b": F.col("b")}
+    plain = lambda df: sorted((r.day, r.name, r.no, r.change_kind, tuple(r.changed_columns or ())) for r in df.collect())
+    want = plain(snapshots.snapshot_changes(make(days), ["name", "no"], "day", "at", compare))
+    have = {(r[0], r[1], r[2]): r[3:5] for r in rows}
+    brute = []
+    for a, b in zip(days, days[1:]):
+        for k in {k[1:] for k in have}:
+            old, new = have.get((a, *k)), have.get((b, *k))
+            if old != new:
+                brute.append((b, *k, "added" if old is None else "removed" if new is None else "changed", tuple(c for c, x, y in zip("ab", old or (), new or ()) if x != y)))
+    assert want == sorted(brute)
+    store = snapshots.keep_snapshots(make(days[:2] + days[3:]), ["name", "no"], "day", "at", compare, str(tmp_path / "kept"))
+    assert store.snapshots() == ["2023-01-01", "2023-02-01", "2023-04-01"] and sum(map(len, store.bounds)) > 2
+    first = plain(store.changes(["2023-02-01"]))
+    assert first == [r for r in want if r[0] == days[1]]
+    assert plain(snapshots.append_snapshots(store, make([days[2]]), "at", compare)) == [r for r in want if r[0] in days[2:]]
+    assert plain(store.changes()) == want
+    with pytest.raises(ValueError, match="kept already: 2023-03-01"):
+        snapshots.append_snapshots(store, make([days[2]]), "at", compare)
+
+
 # Proximity
 
 
