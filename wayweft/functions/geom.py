@@ -7,14 +7,13 @@ A null line gives null everywhere; an empty line or one of a single point has le
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayweft.functions.arrays import cuts, spread
 from wayweft.functions.binding import let
 
 POINT = "struct<x:double,y:double>"
@@ -25,6 +24,8 @@ FEET_PER_METRE, MILES_PER_METRE = 3.28084, 0.000621371
 UNITS = {"meters": 1.0, "feet": FEET_PER_METRE}
 #: Metres within which places count as equal, as the same street, and as the same block.
 STEP_M, STREET_M, BLOCK_M = 0.3, 8.0, 100.0
+#: Samples that divergence holds at once.
+SAMPLES = 1_000_000
 
 
 def point(x: Column, y: Column) -> Column:
@@ -183,24 +184,47 @@ def in_units(value: Column, units: str, of: str) -> Column:
     return metres if of == "meters" else metres * FEET_PER_METRE if of == "feet" else metres * MILES_PER_METRE
 
 
-def _along(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.r_[0.0, np.cumsum(np.hypot(np.diff(x), np.diff(y)))]
-
-
-def _diverge(x1, y1, x2, y2, delta: float) -> tuple[float, float]:
-    s1, s2 = _along(x1, y1), _along(x2, y2)
-    if s1[-1] < s2[-1]:
-        x1, y1, s1, x2, y2, s2 = x2, y2, s2, x1, y1, s1
-    n = s1[-1]
-    at = np.r_[np.arange(0, math.ceil(n / delta)) * delta, n] if n > 0 else np.zeros(1)
-    f = s2[-1] / n if n > 0 else 1.0
-    px, py, qx, qy = np.interp(at, s1, x1), np.interp(at, s1, y1), np.interp(at * f, s2, x2), np.interp(at * f, s2, y2)
-    apart = float(np.hypot(px - qx, py - qy).max())
-    if len(at) < 2:
-        return apart, 0.0
-    bearing = [np.degrees(np.arctan2(np.diff(v), np.diff(u))) for u, v in ((px, py), (qx, qy))]
-    turn = np.abs(bearing[0] - bearing[1]) % 360
-    return apart, float(np.minimum(turn, 360 - turn).mean())
+class _Lines:
+    """All lines of an array, sampled at once: one run of metres on which the lines follow each other with a gap."""
+
+    def __init__(self, v: pa.Array, rows: np.ndarray):
+        flat, offsets = v.values, np.asarray(v.offsets)
+        line, k = spread((offsets[1:] - offsets[:-1])[rows])
+        at = offsets[rows][line] + k
+        self.x, self.y = (flat.field(c).to_numpy(zero_copy_only=False)[at] for c in "xy")
+        step = np.r_[0.0, np.hypot(np.diff(self.x), np.diff(self.y))]
+        step[k == 0] = 0.0
+        upto = np.cumsum(step)
+        starts = np.flatnonzero(k == 0)
+        local = upto - upto[starts][line]
+        self.total = local[np.r_[starts[1:], len(line)] - 1]
+        self.base = np.cumsum(self.total + 1) - self.total - 1
+        self.run = local + self.base[line]
+
+    def at(self, line: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places at distance d along the given lines."""
+        g = self.base[line] + np.minimum(d, self.total[line])
+        return np.interp(g, self.run, self.x), np.interp(g, self.run, self.y)
+
+
+def _diverge(one: pa.Array, two: pa.Array, rows: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Separation and mean difference of bearings of the lines in the given rows."""
+    a, b = _Lines(one, rows), _Lines(two, rows)
+    longer = np.maximum(a.total, b.total)
+    count = np.where(longer > 0, np.ceil(longer / delta), 0).astype(np.int64) + 1
+    apart, turned = np.zeros(len(rows)), np.zeros(len(rows))
+    for part in cuts(count, SAMPLES):
+        own, k = spread(count[part])
+        line = own + part.start
+        d = np.where(k == count[line] - 1, longer[line], k * delta)
+        scale = np.maximum(longer[line], 1e-300)
+        (px, py), (qx, qy) = a.at(line, d * (a.total[line] / scale)), b.at(line, d * (b.total[line] / scale))
+        apart[part] = np.maximum.reduceat(np.hypot(px - qx, py - qy), np.flatnonzero(k == 0))
+        inner = np.flatnonzero(k[1:] > 0)
+        bearing = [np.degrees(np.arctan2(np.diff(v)[inner], np.diff(u)[inner])) for u, v in ((px, py), (qx, qy))]
+        turn = np.abs(bearing[0] - bearing[1]) % 360
+        turned[part] = np.bincount(own[1:][inner], np.minimum(turn, 360 - turn), part.stop - part.start) / np.maximum(count[part] - 1, 1)
+    return apart, turned
 
 
 def divergence(a: Column, b: Column, delta: float = 3.0) -> Column:
@@ -215,13 +239,12 @@ def divergence(a: Column, b: Column, delta: float = 3.0) -> Column:
 
     @arrow_udf(returnType=out)
     def run(one: pa.Array, two: pa.Array) -> pa.Array:
-        def lines(v: pa.Array):
-            flat, offsets, ok = v.values, np.asarray(v.offsets), np.asarray(v.is_valid())
-            return flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False), offsets, ok
-
-        x1, y1, o1, v1 = lines(one)
-        x2, y2, o2, v2 = lines(two)
-        found = [_diverge(x1[o1[i] : o1[i + 1]], y1[o1[i] : o1[i + 1]], x2[o2[i] : o2[i + 1]], y2[o2[i] : o2[i + 1]], delta) if v1[i] and v2[i] and o1[i] < o1[i + 1] and o2[i] < o2[i + 1] else None for i in range(len(one))]
-        return pa.array([None if f is None else {"separation": f[0], "bearing_delta": f[1]} for f in found], pa.struct([("separation", pa.float64()), ("bearing_delta", pa.float64())]))
+        size = lambda v: np.diff(np.asarray(v.offsets))
+        ok = np.asarray(one.is_valid()) & np.asarray(two.is_valid()) & (size(one) > 0) & (size(two) > 0)
+        rows = np.flatnonzero(ok)
+        values = np.zeros((2, len(one)))
+        if len(rows):
+            values[:, rows] = _diverge(one, two, rows, delta)
+        return pa.StructArray.from_arrays([pa.array(v) for v in values], names=["separation", "bearing_delta"], mask=pa.array(~ok))
 
     return run(a, b)

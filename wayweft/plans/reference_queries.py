@@ -806,3 +806,77 @@ def x6(spark, d):
     rules = names.CanonConfig(allowed="A-Za-z ", ignored="", words={"ST": "", "STREET": "", "AVE": "", "AVENUE": ""}, rewrites=())
     segs = network.from_centerlines(_city(spark, d), lambda p: F.array("fullname"), F.col("category").isin("CONNECTOR", "HIGHWAY", "MAJOR", "MINOR", "PEDESTRIAN"), config=rules).segs
     return segs.select("seg_id", F.lower(F.array_join("names", ";")).alias("name"))
+
+
+# Further conditions, boxes and projections
+
+
+@query("ref_f4_geometry_type", f"WITH {_CITY} SELECT DISTINCT objectid, geometry->>'type' AS kind FROM one WHERE geometry->>'type' = 'MultiLineString' AND category = 'MINOR'")
+def f4(spark, d):
+    found = features.filter_features(_city(spark, d), geom_type="MultiLineString", where=F.element_at("props", "CATEGORY") == "MINOR")
+    return found.select("objectid", F.col("geom_type").alias("kind")).distinct()
+
+
+@query("ref_x3_feature_hook", f"WITH {_CITY} SELECT objectid, upper(fullname) AS label FROM one WHERE geometry->>'type' = 'LineString' AND len((geometry->'coordinates')::JSON[]) > 2 AND fullname IS NOT NULL")
+def x3(spark, d):
+    """A caller's function changes features before the condition is looked at; then properties are chosen."""
+    shout = lambda f: f.withColumn("props", F.map_concat("props", F.create_map(F.lit("LOUD"), F.upper(F.element_at("props", "FULLNAME"))))).withColumn("size", F.size(F.flatten("parts")))
+    found = features.filter_features(_city(spark, d), transform=shout, where=F.col("size") > 2, geom_type="LineString", specs=[("label", "TEXT", "LOUD")])
+    return found.select("objectid", F.element_at("props", "label").alias("label")).where("label IS NOT NULL")
+
+
+UTM_CLIP = (560_000.0, 4_800_000.0, 600_000.0, 4_880_000.0)
+
+
+def _utm_sql(source: str, key: str) -> str:
+    """Key, x and y of places (key, lon, lat) in the projection of ref_g16_g18_utm."""
+    return _UTM_SQL.replace(f"({_PLACES})", f"({source})").replace("jct_id", key).strip().replace("round(", "(").replace(", 3) AS x", ") AS x").replace(", 3) AS y", ") AS y")
+
+
+@query("ref_f7_clip_after_projection", f"""
+WITH {_NODES}, p AS ({_utm_sql(f"SELECT node_id, x / {KX} - {LON0} AS lon, y / {KY} + {LAT0} AS lat FROM nodes", "node_id")})
+SELECT node_id, round(x, 1) AS x, round(y, 1) AS y FROM p WHERE x >= {UTM_CLIP[0]} AND x < {UTM_CLIP[2]} AND y >= {UTM_CLIP[1]} AND y < {UTM_CLIP[3]}""")
+def f7(spark, d):
+    """Nodes projected first and clipped in the plane."""
+    degrees = _nodes(spark, d).withColumn("pt", geom.point(F.col("pt.x") / KX - LON0, F.col("pt.y") / KY + LAT0))
+    return osm.clip_nodes(degrees, parse_proj4(UTM2), UTM_CLIP).select("node_id", _r(F.col("pt.x"), 1).alias("x"), _r(F.col("pt.y"), 1).alias("y"))
+
+
+@query("ref_g18_projected_lines", f"""
+WITH {_CITY}, v AS (SELECT objectid * 1000000 + part * 10000 + i AS k, pts[i].x / {KX} - {LON0} AS lon, pts[i].y / {KY} + {LAT0} AS lat FROM (SELECT objectid, part, pts, unnest(range(1, len(pts) + 1)) AS i FROM city)),
+p AS ({_utm_sql("SELECT k, lon, lat FROM v", "k")}), l AS (SELECT k // 10000 AS line, k, x, y, lag(x) OVER w AS xp, lag(y) OVER w AS yp FROM p WINDOW w AS (PARTITION BY k // 10000 ORDER BY k))
+SELECT line // 100 AS objectid, line % 100 AS part, round(sum(sqrt(pow(x - xp, 2) + pow(y - yp, 2))), 2) AS length FROM l GROUP BY 1, 2""")
+def g18(spark, d):
+    """Lines projected as a whole."""
+    degrees = F.transform("pts", lambda p: geom.point(p["x"] / KX - LON0, p["y"] / KY + LAT0))
+    line = parse_proj4(UTM2).line(degrees)
+    return _city_lines(spark, d).select("objectid", F.col("part").cast("long").alias("part"), _r(geom.length(line), 2).alias("length"))
+
+
+@query("ref_g6_g17_boxes", f"""
+WITH b AS (SELECT min(point.x) AS x0, min(point.y) AS y0, max(point.x) AS x1, max(point.y) AS y1 FROM jcts WHERE point IS NOT NULL), c AS (SELECT 1 AS k, x0 AS lon, y0 AS lat FROM b UNION ALL SELECT 2, x1, y1 FROM b),
+p AS ({_utm_sql("SELECT k, lon, lat FROM c", "k")}) SELECT round(min(x) - 1000, 2) AS xmin, round(min(y) - 1000, 2) AS ymin, round(max(x) + 1000, 2) AS xmax, round(max(y) + 1000, 2) AS ymax FROM p""")
+def g6(spark, d):
+    """The box around all junctions, projected and widened, as jobs make it."""
+    box = table(spark, d, "jcts").where("point IS NOT NULL").agg(F.min("point.x"), F.min("point.y"), F.max("point.x"), F.max("point.y")).first()
+    wide = geom.buffer_box(parse_proj4(UTM2).box(tuple(box)), 1000.0)
+    return spark.createDataFrame([tuple(round(v, 2) for v in wide)], "xmin double, ymin double, xmax double, ymax double")
+
+
+@query("ref_j5_seed_filters", f"""
+WITH {_JCTS}, {_NODES}, near AS (SELECT a.jct_id, count(*) AS n FROM j a JOIN j b ON b.x BETWEEN a.x - 100 AND a.x + 100 AND sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) < 100 GROUP BY a.jct_id HAVING count(*) = 1),
+other AS (SELECT a.jct_id, count(*) AS n, min(n.node_id) AS node_id, min(sqrt(pow(n.x - a.x, 2) + pow(n.y - a.y, 2))) AS dist FROM j a JOIN nodes n ON n.x BETWEEN a.x - 100 AND a.x + 100 AND sqrt(pow(n.x - a.x, 2) + pow(n.y - a.y, 2)) < 100 AND (a.jct_id + n.node_id) % 2 = 0 GROUP BY a.jct_id HAVING count(*) = 1)
+SELECT o.jct_id AS jct1, o.node_id AS jct2, round(o.dist, 3) AS dist FROM other o JOIN near USING (jct_id) WHERE o.dist <= 40""")
+def j5(spark, d):
+    """Seeds among pairs that meet a caller's condition."""
+    even = lambda met: (F.col("id1") + F.col("id2")) % 2 == 0
+    found = grid.isolated_seeds(_jct_points(spark, d), _nodes(spark, d).select(F.col("node_id").alias("jct_id"), "pt"), 40.0, 100.0, [even])
+    return found.select("jct1", "jct2", _r(F.col("dist")).alias("dist"))
+
+
+@query("ref_y2_w8_fix_specs", """
+SELECT * FROM (VALUES (1, 'NAME', 'TEXT', 'NAME'), (2, 'Name$1', 'INT', 'Name'), (3, 'length', 'FLOAT', 'len'), (4, 'name$2', 'TEXT', 'name'), (5, 'geometry', 'LINESTRING', 'geometry')) t(place, col_name, col_type, prop)""")
+def y2(spark, d):
+    """Names of columns made unique whatever the case, in order."""
+    specs = features.fix_specs(["NAME", ("Name", "INT"), ("length", "FLOAT", "len"), "name", ("geometry", "LINESTRING")])
+    return spark.createDataFrame([(i, *s) for i, s in enumerate(specs, 1)], "place int, col_name string, col_type string, prop string")
