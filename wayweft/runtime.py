@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +38,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; a single file or a folder of part files."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,6 +92,25 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def signature(spark: SparkSession, path: str) -> str:
+    """What a file or folder is now: size, number of files and time of change, from one call to its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = system.getContentSummary(place)
+    return f"{path}:{whole.getLength()}:{whole.getFileCount()}:{system.getFileStatus(place).getModificationTime()}"
+
+
+_kept: dict[tuple[str, ...], object] = {}
+
+
+def once(spark: SparkSession, what: str, paths: Sequence[str], build: Callable[[], object]) -> object:
+    """What build() returns, built once per application and state of the given inputs; for steps that several queries share."""
+    key = (spark.sparkContext.applicationId, what, *[signature(spark, p) for p in paths])
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a frame that materialise() returned and that nothing reads any more."""
     spark = df.sparkSession
