@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayweft.llm import bpe, entity_match, mixing, repetition
-from wayweft.runtime import table
+from wayweft.runtime import materialise, once, table, table_path
 
 
 def _streets(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +43,9 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    sized = bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text").withColumnRenamed("doc_id", "id")
-    return mixing.mix_sources(sized, table(spark, d, "mix_targets"))
+    """Mix and report; the sizes are counted once per application and state of the documents, for both queries."""
+    count = lambda: materialise(bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text").withColumnRenamed("doc_id", "id"), "sizes")
+    return mixing.mix_sources(once(spark, "token sizes", [table_path(d, "documents")], count), table(spark, d, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
