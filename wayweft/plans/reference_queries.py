@@ -880,3 +880,67 @@ def y2(spark, d):
     """Names of columns made unique whatever the case, in order."""
     specs = features.fix_specs(["NAME", ("Name", "INT"), ("length", "FLOAT", "len"), "name", ("geometry", "LINESTRING")])
     return spark.createDataFrame([(i, *s) for i, s in enumerate(specs, 1)], "place int, col_name string, col_type string, prop string")
+
+
+# Tables, features and systems
+
+
+@query("ref_s2_unwrap_features", "SELECT region_id AS id, region_name AS name, (region_id % 90)::DOUBLE AS x FROM regions")
+def s2(spark, d):
+    """Features of Python objects: a collection, a list, and single features that only offer their interface."""
+
+    class Offered:
+        def __init__(self, feature):
+            self.__geo_interface__ = feature
+
+    rows = table(spark, d, "regions").select("region_id", "region_name").orderBy("region_id").collect()  # the same number at every scale
+    made = [{"type": "Feature", "id": r[0], "geometry": {"type": "Point", "coordinates": [float(r[0] % 90), 0.0]}, "properties": {"name": r[1]}} for r in rows]
+    third = len(made) // 3
+    parts = [{"type": "FeatureCollection", "features": made[:third]}, made[third : 2 * third], [Offered(f) for f in made[2 * third :]]]
+    found = [geojson.create_features(spark, p) for p in parts]
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.select(F.col("feature_id").alias("id"), features.text_of(F.col("props"), "name").alias("name"), F.col("parts")[0][0]["x"].alias("x"))
+
+
+@query("ref_k7_k8_k11_table", "SELECT n_nationkey AS id, n_name AS \"a:name\", n_regionkey * 0.5 AS length, 'x' AS extra, 25 AS rows, 5 AS columns FROM nation")
+def k7(spark, d):
+    """A table created from column specs, rows given by name and by position, a column added; counts from the catalog."""
+    name = f"t{uuid.uuid4().hex}"
+    specs = [("id", "BIGINT", "id"), ("a:name", "TEXT", "name"), ("length", "FLOAT", "length"), ("geometry", "POINT", "geometry")]
+    rows = [(r.n_nationkey, r.n_name, r.n_regionkey * 0.5, (1.0, 2.0)) for r in table(spark, d, "nation").collect()]  # the same 25 rows at every scale
+    tables.create_table(spark, name, specs)
+    tables.write_rows(spark, name, specs, [*rows[:10], *[{"id": i, "name": n, "length": v} for i, n, v, _ in rows[10:]]])
+    tables.add_column(spark, name, "extra", "TEXT")
+    n, columns, there = tables.num_rows(spark, name), len(tables.column_names(spark, name)), name in tables.table_names(spark)
+    (kept,) = _kept(spark, [name])
+    return kept.select("id", "`a:name`", "length", F.lit("x").alias("extra"), F.lit(n if there else -1).alias("rows"), F.lit(columns).alias("columns"))
+
+
+@query("ref_k16_sql_geometry", f"WITH {_CITY} SELECT objectid, part, printf('ST_GeomFromText(''POINT (%.6f %.6f)'',%d)', pts[1].x, pts[1].y, 832610) AS text FROM city")
+def k16(spark, d):
+    return _city_lines(spark, d).select("objectid", F.col("part").cast("long").alias("part"), tables.sql_geometry(geom.wkt_point(geom.first(F.col("pts"))), 832610).alias("text"))
+
+
+@query("ref_k17_osm_tables", f"WITH {_PREPARED} SELECT 'ways' AS kind, count(*) AS n FROM clean UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE cardinality(tags) > 0 OR node_id IN (SELECT unnest(node_ids) FROM clean) UNION ALL SELECT 'segs', count(*) FROM cparts UNION ALL SELECT 'jcts', count(DISTINCT j) FROM (SELECT node_ids[1] AS j FROM cparts UNION ALL SELECT node_ids[-1] FROM cparts)")
+def k17(spark, d):
+    """Ways, nodes and network written to the catalog side by side."""
+    name, data = f"t{uuid.uuid4().hex}", _prepared(spark, d)
+    segs, jcts = osm.create_path_network(data)
+    tables.write_osm_tables(data.ways, data.nodes, Network(segs, jcts, name), name)
+    kinds = {"ways": "ways", "nodes": "nodes", "segs": "pnwk_segs", "jcts": "pnwk_jcts"}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in zip(kinds, _kept(spark, [f"{name}_{t}" for t in kinds.values()]))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query("ref_o11_o12_systems", """
+SELECT * FROM (VALUES (32610, 832610, 'meters', -123.0, 0.0, 500000.0, 0.0), (32755, 832755, 'meters', 147.0, 0.0, 500000.0, 10000000.0), (2913, 802913, 'feet', -120.5, 43.66666666666666, 8202099.738, 0.0), (2227, 802227, 'feet', -120.5, 36.5, 6561666.667, 1640416.667))
+t(code, srid, units, lon, lat, x, y)""")
+def o11(spark, d):
+    """Systems by number, over WKT and back: the false origin lies where it is defined to lie."""
+    out = []
+    for code, lon, lat in ((32610, -123.0, 0.0), (32755, 147.0, 0.0), (2913, -120.5, 43.66666666666666), (2227, -120.5, 36.5)):
+        s = srs.SRS(auth_name="EPSG", auth_srid=code).resolved()
+        p = parse_proj4(srs.wkt_to_proj4(s.srtext))
+        x, y = p.numbers(lon, lat)
+        out.append((code, s.postgis_srid, p.units, lon, lat, round(x, 3), round(y, 3) + 0.0))
+    return spark.createDataFrame(out, "code int, srid int, units string, lon double, lat double, x double, y double")
