@@ -902,7 +902,7 @@ def s2(spark, d):
     return out.select(F.col("feature_id").alias("id"), features.text_of(F.col("props"), "name").alias("name"), F.col("parts")[0][0]["x"].alias("x"))
 
 
-@query("ref_k7_k8_k11_table", "SELECT n_nationkey AS id, n_name AS \"a:name\", n_regionkey * 0.5 AS length, 'x' AS extra, 25 AS rows, 5 AS columns FROM nation")
+@query("ref_k7_k8_k11_table", "SELECT n_nationkey AS id, n_name AS \"a:name\", (n_regionkey * 0.5)::DOUBLE AS length, 'x' AS extra, 25 AS rows, 5 AS columns FROM nation")
 def k7(spark, d):
     """A table created from column specs, rows given by name and by position, a column added; counts from the catalog."""
     name = f"t{uuid.uuid4().hex}"
@@ -933,7 +933,7 @@ def k17(spark, d):
 
 
 @query("ref_o11_o12_systems", """
-SELECT * FROM (VALUES (32610, 832610, 'meters', -123.0, 0.0, 500000.0, 0.0), (32755, 832755, 'meters', 147.0, 0.0, 500000.0, 10000000.0), (2913, 802913, 'feet', -120.5, 43.66666666666666, 8202099.738, 0.0), (2227, 802227, 'feet', -120.5, 36.5, 6561666.667, 1640416.667))
+SELECT code, srid, units, lon::DOUBLE AS lon, lat::DOUBLE AS lat, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (32610, 832610, 'meters', -123.0, 0.0, 500000.0, 0.0), (32755, 832755, 'meters', 147.0, 0.0, 500000.0, 10000000.0), (2913, 802913, 'feet', -120.5, 43.66666666666666, 8202099.738, 0.0), (2227, 802227, 'feet', -120.5, 36.5, 6561666.667, 1640416.667))
 t(code, srid, units, lon, lat, x, y)""")
 def o11(spark, d):
     """Systems by number, over WKT and back: the false origin lies where it is defined to lie."""
