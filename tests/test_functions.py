@@ -110,6 +110,41 @@ def test_divergence(spark):
     assert 5.7 < r.de.bearing_delta < 5.8 and tuple(r.zero) == (10, 0) and r.none is None
 
 
+def plain_divergence(a, b, delta):
+    """One pair of lines, one sample after the other."""
+
+    def along(line, d):
+        for (x0, y0), (x1, y1) in zip(line, line[1:]):
+            leg = math.hypot(x1 - x0, y1 - y0)
+            if d <= leg and leg > 0:
+                return x0 + (x1 - x0) * d / leg, y0 + (y1 - y0) * d / leg
+            d -= leg
+        return line[-1]
+
+    length = lambda line: sum(math.dist(p, q) for p, q in zip(line, line[1:]))
+    n = max(length(a), length(b))
+    at = [k * delta for k in range(math.ceil(n / delta))] + [n] if n else [0.0]
+    both = [[along(line, min(d * (length(line) / n if n else 1), length(line))) for d in at] for line in (a, b)]
+    apart = max(math.dist(p, q) for p, q in zip(*both))
+    bearings = [[math.degrees(math.atan2(q[1] - p[1], q[0] - p[0])) for p, q in zip(s, s[1:])] for s in both]
+    turns = [min(t, 360 - t) for t in (abs(u - v) % 360 for u, v in zip(*bearings))]
+    return apart, sum(turns) / len(turns) if turns else 0.0
+
+
+@pytest.mark.parametrize("samples", [50, 1_000_000])
+def test_divergence_of_many_lines(spark, monkeypatch, samples):
+    """Lines of a batch are sampled together and in portions; nulls, empty lines and single points among them."""
+    monkeypatch.setattr(geom, "SAMPLES", samples)
+    rng = random.Random(3)
+    line = lambda: [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(rng.randint(2, 6))]
+    rows = [(i, line(), line()) for i in range(60)] + [(60, None, line()), (61, [], line()), (62, line(), None), (63, [(1.0, 2.0)], [(4.0, 6.0)])]
+    df = spark.createDataFrame(rows, "id long, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    got = {r.id: r.v for r in df.select("id", geom.divergence(F.col("a"), F.col("b"), 3.0).alias("v")).collect()}
+    assert got[60] is None and got[61] is None and got[62] is None and tuple(got[63]) == (5.0, 0.0)
+    for i, a, b in rows[:60]:
+        assert tuple(got[i]) == pytest.approx(plain_divergence(a, b, 3.0), abs=1e-6)
+
+
 def test_rectangles_and_wkt(spark):
     p = lambda x, y: geom.point(F.lit(x), F.lit(y))
     box = (0.0, 0.0, 10.0, 10.0)

@@ -52,6 +52,8 @@ def test_isolated_seeds(spark):
     assert grid.isolated_seeds(one.union(j((3, 30, 0, []))), two, 10, 100).count() == 0
     common = lambda d: grid.two_names_in_common(F.col("names"), F.col("names_2"))
     assert [(r.jct1, r.jct2) for r in grid.isolated_seeds(one, two, 40, 100, [common]).collect()] == [(1, 11)]
+    crowd = j(*[(100 + i, 3000 + i % 7, i // 7, []) for i in range(200)])  # none of them is alone, and the one beside them isn't either
+    assert [(r.jct1, r.jct2) for r in grid.isolated_seeds(one.union(crowd).union(j((4, 3080, 0, []), (5, 9000, 0, []))), two.union(j((13, 3081, 0, []), (14, 9001, 0, []))), 10, 100).orderBy("jct1").collect()] == [(1, 11), (5, 14)]
     assert grid.jcts_near_point(two, 0, 0).count() == 1 and grid.jcts_near_point(two, 0, 0, 1500).count() == 2
 
 

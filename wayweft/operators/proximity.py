@@ -369,16 +369,15 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_points: int |
     reach = (F.radians(F.col("y_max") - F.col("y_min")) + F.radians(F.col("x_max") - F.col("x_min")) * widest) / 2 * EARTH_M + SLACK_M
     shape = shape.select("region_id", ((F.col("x_min") + F.col("x_max")) / 2).alias("lon"), ((F.col("y_min") + F.col("y_max")) / 2).alias("lat"), reach.alias("reach"), "flat")
 
-    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lon, lat = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            cell, of = np.unique(pivots.homes(unit_vectors(lon, lat)), return_inverse=True)
-            box = [np.full(len(cell), v) for v in (np.inf, np.inf, -np.inf, -np.inf)]
-            for f, a, v in zip((np.minimum, np.minimum, np.maximum, np.maximum), box, (lon, lat, lon, lat)):
-                f.at(a, of, v)
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (cell, *box, np.bincount(of, minlength=len(cell)))], names=["cell", "x0", "y0", "x1", "y1", "n"])
+            cell = pivots.homes(unit_vectors(lon, lat)) if len(lon) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *b.columns], names=["cell", "id", "lon", "lat"])
 
-    boxes = rows.mapInArrow(extents, "cell bigint, x0 double, y0 double, x1 double, y1 double, n bigint").groupBy("cell").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"), (F.sum, "n"))])
+    # Written, so that the boxes and the join see one assignment, even of points between two pivots.
+    placed = materialise(rows.mapInArrow(home, "cell bigint, id bigint, lon double, lat double"), "placed")
+    boxes = placed.groupBy("cell").agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"), F.count("*").alias("n"))
     held = boxes.toArrow()  # at most a row of 48 bytes for each pivot
     box = np.full((pivots.cells, 4), np.nan)
     box[held["cell"].to_numpy()] = np.stack([held[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], 1)
@@ -387,9 +386,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_points: int |
 
     def assign_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lon, lat = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cell = pivots.homes(unit_vectors(lon, lat)) if len(ids) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(_block(ids, salts[cell])), pa.array(ids), pa.array(lon), pa.array(lat), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.float64()))], schema=_CELL_ROW)
+            cell, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_block(ids, salts[cell])), *b.columns[1:], pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.float64()))], schema=_CELL_ROW)
 
     def assign_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -448,7 +446,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_points: int |
         for a, b in _gathered(found()):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_INSIDE)
 
-    cells = rows.mapInArrow(assign_points, _CELL_DDL).unionByName(shape.mapInArrow(assign_regions, _CELL_DDL))
+    cells = placed.mapInArrow(assign_points, _CELL_DDL).unionByName(shape.mapInArrow(assign_regions, _CELL_DDL))
     return cells.repartition(_tasks(rows, n, cell_points), "cell", "salt").groupBy("cell", "salt").applyInArrow(join, "region_id bigint, id bigint").distinct()
 
 
