@@ -257,8 +257,8 @@ WITH p AS (SELECT jct_id, radians(lon + 171) AS lam, radians(lat) AS phi, 0.0818
 t AS (SELECT jct_id, lam, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM p),
 g AS (SELECT jct_id, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM t),
 c AS (SELECT [8.377318206244698e-4, 7.608527773572489e-7, 1.197645503242492e-9, 2.429170680397309e-12, 5.711818370428e-15, 1.47999793137966e-17] AS a)
-SELECT jct_id, round(500000 + 0.9996e0 * 6367449.145823415e0 * (eta + list_sum(list_transform(range(1, 7), lambda j: a[j] * cos(2 * j * xi) * sinh(2 * j * eta)))), 3) AS x,
-  round(0.9996e0 * 6367449.145823415e0 * (xi + list_sum(list_transform(range(1, 7), lambda j: a[j] * sin(2 * j * xi) * cosh(2 * j * eta)))), 3) AS y FROM g, c"""
+SELECT jct_id, round(500000 + 0.9996e0 * 6367449.145823415e0 * (eta + list_sum(list_transform(range(1, 7), lambda j: a[j] * cos(2 * j * xi) * sinh(2 * j * eta)))), 2) AS x,
+  round(0.9996e0 * 6367449.145823415e0 * (xi + list_sum(list_transform(range(1, 7), lambda j: a[j] * sin(2 * j * xi) * cosh(2 * j * eta)))), 2) AS y FROM g, c"""
 _LCC_SQL = f"""
 WITH k AS (SELECT 6378137.0e0 AS a, 0.0818191910428158e0 AS e, radians(133e0 / 3) AS p1, radians(46) AS p2, radians(131e0 / 3) AS p0),
 m AS (SELECT a, e, cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) AS m1, cos(p2) / sqrt(1 - pow(e * sin(p2), 2)) AS m2,
@@ -269,20 +269,20 @@ r AS (SELECT jct_id, n * lam AS theta, a * f * pow(tan(pi() / 4 - phi / 2) / pow
 SELECT jct_id, round(2500000 + rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y FROM r"""
 
 
-def _projected(spark, d, text):
+def _projected(spark, d, text, digits):
     p = parse_proj4(text).point(F.col("point"))
     rows = table(spark, d, "jcts").where("point IS NOT NULL").select("jct_id", "point").distinct()
-    return rows.select("jct_id", _r(p["x"]).alias("x"), _r(p["y"]).alias("y"))
+    return rows.select("jct_id", _r(p["x"], digits).alias("x"), _r(p["y"], digits).alias("y"))
 
 
 @query("ref_g16_g18_utm", _UTM_SQL)
 def g16_utm(spark, d):
-    return _projected(spark, d, UTM2)
+    return _projected(spark, d, UTM2, 2)
 
 
 @query("ref_g16_g18_lcc", _LCC_SQL)
 def g16_lcc(spark, d):
-    return _projected(spark, d, LCC)
+    return _projected(spark, d, LCC, 3)
 
 
 @query("ref_g16_round_trip", "SELECT DISTINCT jct_id, round(point.x, 7) AS lon, round(point.y, 7) AS lat FROM jcts WHERE point IS NOT NULL")
@@ -719,7 +719,7 @@ def s3(spark, d):
 
 @query("ref_s4_osm_xml_round_trip", f"""
 WITH {_WAYS}, {_NODES} SELECT 'way' AS kind, way_id AS id, array_to_string(node_ids, ',') AS node_ids, tags['name'] AS name, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM ways
-UNION ALL SELECT 'node', node_id, NULL, tags['name'], round(x, 1), round(y, 1) FROM nodes""")
+UNION ALL SELECT 'node', node_id, NULL, tags['name'], round(x, 5), round(y, 5) FROM nodes""")
 def s4(spark, d):
     """Ways and nodes written as XML and read back by the XML scan."""
     path = shared_path(spark, "xml")
@@ -729,7 +729,7 @@ def s4(spark, d):
     _nodes(spark, d).select(F.col("node_id").alias("_id"), F.col("pt.y").alias("_lat"), F.col("pt.x").alias("_lon"), tag.alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path + "/nodes")
     none = F.lit(None).cast("double")
     ways = osm_files.read_xml(spark, path + "/ways").ways.select(F.lit("way").alias("kind"), F.col("way_id").alias("id"), _ids("node_ids").alias("node_ids"), F.element_at("tags", "name").alias("name"), none.alias("x"), none.alias("y"))
-    nodes = osm_files.read_xml(spark, path + "/nodes").nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("string").alias("node_ids"), F.element_at("tags", "name").alias("name"), _r(F.col("pt.x"), 1).alias("x"), _r(F.col("pt.y"), 1).alias("y"))
+    nodes = osm_files.read_xml(spark, path + "/nodes").nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("string").alias("node_ids"), F.element_at("tags", "name").alias("name"), _r(F.col("pt.x"), 5).alias("x"), _r(F.col("pt.y"), 5).alias("y"))
     return ways.unionByName(nodes)
 
 
@@ -830,7 +830,7 @@ UTM_CLIP = (560_000.0, 4_800_000.0, 600_000.0, 4_880_000.0)
 
 def _utm_sql(source: str, key: str) -> str:
     """Key, x and y of places (key, lon, lat) in the projection of ref_g16_g18_utm."""
-    return _UTM_SQL.replace(f"({_PLACES})", f"({source})").replace("jct_id", key).strip().replace("round(", "(").replace(", 3) AS x", ") AS x").replace(", 3) AS y", ") AS y")
+    return _UTM_SQL.replace(f"({_PLACES})", f"({source})").replace("jct_id", key).strip().replace("round(", "(").replace(", 2) AS x", ") AS x").replace(", 2) AS y", ") AS y")
 
 
 @query("ref_f7_clip_after_projection", f"""
