@@ -446,3 +446,12 @@ def test_salted_join_equals_join(spark):
     for how in ("inner", "left"):
         a = sorted(map(str, salted_join(left, right, "k", how, share=3, salts=4).select("k", "v", "w").collect()))
         assert a == sorted(map(str, left.join(right, "k", how).select("k", "v", "w").collect()))
+
+
+def test_canonical_tags_are_equal_for_equal_sets_only(spark):
+    """Quotes, backslashes and separators inside keys and values make no two sets equal."""
+    sets = [[("a", 'x","y')], [("a", "x"), ("y", None)], [('a","x', "y")], [("a", 'x"],["y')], [("a", "x\\")], [("a", 'x\\"')], [("a", "null")], [("a", None)], [("a", "")], [(None, "a")], [("null", "a")], [], [("a", "x"), ("b", "y")]]
+    forms = [r.c for r in spark.createDataFrame([(s,) for s in sets], f"tags {TAGS}").select(snapshots.canonical_tags(F.col("tags")).alias("c")).collect()]
+    assert len(set(forms)) == len(sets)
+    same = [[("b", " y "), ("a", "\tx "), ("a", "x")], [("a", "x"), ("b", "y"), None]]
+    assert [r.c for r in spark.createDataFrame([(s,) for s in same], f"tags {TAGS}").select(snapshots.canonical_tags(F.col("tags")).alias("c")).collect()] == [forms[-1]] * 2
