@@ -84,6 +84,30 @@ def test_csv_report(spark, tmp_path):
     assert '"pointy ""dude"""' in text and "\r\n" in text
 
 
+def test_large_answers_are_split(spark, tmp_path, monkeypatch):
+    """A long answer becomes several rows, on one line or many; other shapes stay whole and are read as before."""
+    import io
+
+    elements = [{"type": "node", "id": i, "lat": 38.5, "lon": -i / 7, "tags": {"name": "\u00e9 ],}" * (i % 3)}} for i in range(25_000)]
+    doc = {"version": 0.6, "elements": elements, "n": 12}
+    (tmp_path / "a.json").write_text(json.dumps(doc), encoding="utf-8")
+    assert osm_files.answers_of(spark, str(tmp_path / "a.json")).count() > 1
+    read = lambda: osm_files.read_json(spark, str(tmp_path / "a.json")).nodes
+    assert read().agg(F.count("*"), F.count_distinct("node_id"), F.round(F.sum("pt.x"), 3)).first()[:] == (25_000, 25_000, round(sum(e["lon"] for e in elements), 3))
+    (tmp_path / "a.json").write_text(json.dumps(json.dumps(doc)))
+    assert read().count() == 25_000
+    (tmp_path / "a.json").write_text(json.dumps(doc)[:-1])
+    assert read().count() == 0
+    monkeypatch.setattr(osm_files, "PART", 7)
+    for text in (json.dumps(doc | {"elements": elements[:9]}, indent=i) for i in (None, 1)):
+        parts = list(osm_files.split_answer(io.StringIO(text)))
+        assert len(parts) == 9 and [e for p in parts for e in json.loads(p)["elements"]] == elements[:9]
+    assert list(osm_files.split_answer(io.StringIO(' {"elements": [ ] } '))) == [] == list(osm_files.split_answer(io.StringIO("{}")))
+    for text in ('{"elements": [1], "elements": [2]}', '{"elements": 1}', "[1]", '{"elements": [1,]}', '{"elements": [1]} 2', "", '{"a" 1}'):
+        with pytest.raises(ValueError):
+            list(osm_files.split_answer(io.StringIO(text)))
+
+
 XML = """<?xml version="1.0"?><osm version="0.6"><bounds minlat="0"/>
 <node id="1" lat="38.0" lon="-122.0"><tag k="addr:city" v="X"/></node><node id="2" lat="38.1" lon="-122.1"/>
 <way id="7"><nd ref="1"/><nd ref="2"/><nd ref="1"/><tag k="leisure" v="park"/><tag k="name" v="A &amp; B"/></way><relation id="9"><member type="way" ref="7"/></relation></osm>"""
